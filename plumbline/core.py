@@ -100,16 +100,14 @@ def _positioned(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     )
 
 
-def _with_offsets(df: DataFrame, per_part: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach to every row the total of its key over the ranges before its own."""
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
+def _join_null_safe(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-range values to the rows of their range; keys may be null."""
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     offsets = offsets.withColumnRenamed("_part", "_p").withColumnsRenamed(names)
     on = F.col("_part") == F.col("_p")
     for k, n in names.items():
         on = on & F.col(k).eqNullSafe(F.col(n))
-    return df.join(offsets, on).drop("_p", *names.values())
+    return rows.join(offsets, on).drop("_p", *names.values())
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rn") -> DataFrame:
@@ -119,7 +117,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ou
     """
     rows = _positioned(df, keys, order)
     per_part = rows.groupBy("_part", *keys).agg(F.min("_loc").alias("_first"), F.count("*").alias("_tot"))
-    joined = _with_offsets(rows, per_part, keys)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).drop("_tot")
+    joined = _join_null_safe(rows, offsets, keys)
     return joined.withColumn(
         out, (F.col("_loc") - F.col("_first") + F.col("_off") + 1).cast("bigint")
     ).drop("_part", "_loc", "_first", "_off")
@@ -129,15 +129,26 @@ def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weight: str, out: str
 ) -> DataFrame:
     """Exact inclusive running sum of ``weight`` in the given order, spread over range partitions."""
+    return running_totals(df, keys, order, {weight: out})
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weights: dict[str, str]
+) -> DataFrame:
+    """Several running sums over one sort: ``weights`` maps weight columns to result columns."""
     rows = _positioned(df, keys, order)
-    per_part = rows.groupBy("_part", *keys).agg(F.sum(weight).alias("_tot"))
-    local = Window.partitionBy("_part", *keys).orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_cum", F.sum(weight).over(local))
-    return (
-        _with_offsets(rows, per_part, keys)
-        .withColumn(out, F.col("_cum") + F.col("_off"))
-        .drop("_part", "_loc", "_cum", "_off")
+    tot = rows.groupBy("_part", *keys).agg(*[F.sum(w).alias(f"_t_{o}") for w, o in weights.items()])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(
+        "_part", *keys, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in weights.values()]
     )
+    local = Window.partitionBy("_part", *keys).orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
+    for w, o in weights.items():
+        rows = rows.withColumn(o, F.sum(w).over(local))
+    joined = _join_null_safe(rows, offsets, keys)
+    for o in weights.values():
+        joined = joined.withColumn(o, F.col(o) + F.col(f"_o_{o}"))
+    return joined.drop("_part", "_loc", *[f"_o_{o}" for o in weights.values()])
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
