@@ -131,9 +131,9 @@ def g10b(spark, sf):
 
 @query("j15_partition_overlap", REPL_SQL + """,
 h AS (SELECT seed, id FROM rep WHERE role = 'test'), s AS (SELECT seed, count(*) AS n FROM h GROUP BY seed)
-SELECT 'template' AS design, a.seed AS part_a, b.seed AS part_b, a.n AS n_a, count(x.id) AS n_shared, round(100.0 * count(x.id) / a.n, 6) AS pct_shared
+SELECT 'template' AS design, a.seed AS part_a, b.seed AS part_b, any_value(a.n) AS n_a, count(x.id) AS n_shared, round(100.0 * count(x.id) / any_value(a.n), 6) AS pct_shared
 FROM s a JOIN s b ON a.seed < b.seed LEFT JOIN (SELECT p.seed AS sa, q.seed AS sb, p.id FROM h p JOIN h q USING (id)) x ON x.sa = a.seed AND x.sb = b.seed
-GROUP BY ALL""")
+GROUP BY a.seed, b.seed""")
 def j15(spark, sf):
     return G.partition_overlap(replicates(spark, sf).withColumn("design", F.lit("template")), "design", "seed")
 
