@@ -48,7 +48,7 @@ def a4(spark, sf):
 
 @query("a5_category_table", X.WITH_ENT + "," + X.PRIMARY_SQL + """
 SELECT cat, count(*) AS n, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, round(avg(y), 6) AS mean_y,
-  round(coalesce(stddev_samp(y), 0), 6) AS sd_y, min(y) AS min_y, max(y) AS max_y, count(DISTINCT grp) AS n_sources, round(100.0 * count(*) / (SELECT count(*) FROM ent), 6) AS pct
+  round(coalesce(stddev_samp(y), 0), 6) AS sd_y, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, count(DISTINCT grp) AS n_sources, round(100.0 * count(*) / (SELECT count(*) FROM ent), 6) AS pct
 FROM ent JOIN prim USING (id) WHERE split = 'stratified' GROUP BY cat""")
 def a5(spark, sf):
     df = X.entities(spark, sf).join(X.primary(spark, sf).where("split = 'stratified'"), "id")
@@ -166,7 +166,7 @@ def a17(spark, sf):
 
 
 @query("a18_ensemble_mean", X.WITH_PREDS + """
-SELECT design, id, round(avg(pred), 6) AS pred, count(DISTINCT model) AS n_members, any_value(y) AS y FROM preds
+SELECT design, id, round(avg(pred), 6) AS pred, count(DISTINCT model) AS n_members, round(any_value(y), 6) AS y FROM preds
 WHERE role = 'test' AND model IN ('lang | Mean', 'source | Mean', 'length | Line') GROUP BY ALL""")
 def a18(spark, sf):
     members = spark.createDataFrame([("lang | Mean",), ("source | Mean",), ("length | Line",)], "model string")

@@ -57,8 +57,8 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     n = F.greatest(F.size(token_set(F.col("text"))), F.lit(1)).cast("double")
     return d.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("cat"), F.col("source").alias("grp"),
-        template_key(F.col("text")).alias("tmpl"), "n_chars", F.round(F.log10("n_chars"), 6).alias("y"),
-        n.alias("x1"), F.round(F.log10(n), 6).alias("x2"),
+        template_key(F.col("text")).alias("tmpl"), "n_chars", F.round(F.log10("n_chars"), 9).alias("y"),
+        n.alias("x1"), F.round(F.log10(n), 9).alias("x2"),
     )
 
 
@@ -66,14 +66,14 @@ TOK = r"[x for x in string_split_regex(lower(text), '[ \t\r\n]+') if x <> '']"
 STOP_SQL = "['the','of','and','to','in','is','a','der','die','und','de','la','le','et','el','en','y']"
 ENT_SQL = rf"""
 ent0 AS (
-  SELECT doc_id AS id, text, lang AS cat, source AS grp, n_chars, round(log10(n_chars), 6) AS y,
+  SELECT doc_id AS id, text, lang AS cat, source AS grp, n_chars, round(log10(n_chars), 9) AS y,
          greatest(len(list_distinct({TOK})), 1)::DOUBLE AS x1,
          array_to_string(([x for x in string_split_regex(
            regexp_replace(lower(text), '[0-9.,;:!?|#$%&*"''()<>/@_=+-]+', ' ', 'g'), '[ \t\r\n]+')
            if x <> '' AND NOT list_contains({STOP_SQL}, x)])[1:2], ' ') AS t0
   FROM documents),
 ent AS (
-  SELECT id, text, cat, grp, n_chars, y, x1, round(log10(x1), 6) AS x2,
+  SELECT id, text, cat, grp, n_chars, y, x1, round(log10(x1), 9) AS x2,
          CASE WHEN text IS NULL OR t0 = '' THEN '<none>' ELSE t0 END AS tmpl
   FROM ent0)"""
 
