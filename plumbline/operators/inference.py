@@ -141,7 +141,7 @@ def interaction(
     ta = t.select("design", "b", F.col("model").alias("model_a"), F.col("mse").alias("ma"), "var")
     tb = t.select("design", "b", F.col("model").alias("model_b"), F.col("mse").alias("mb"))
     gap = ta.join(contrasts, "model_a").join(tb, ["design", "b", "model_b"]).select(
-        "design", "b", "model_a", "model_b", ((F.col("mb") - F.col("ma")) / F.col("var")).alias("gap")
+        "design", "b", "model_a", "model_b", F.try_divide(F.col("mb") - F.col("ma"), F.col("var")).alias("gap")
     )
     ref = gap.where(F.col("design") == base).select("b", "model_a", "model_b", F.col("gap").alias("gap_base"))
     d = gap.where(F.col("design") != base).join(ref, ["b", "model_a", "model_b"]).withColumn("d", F.col("gap") - F.col("gap_base"))
@@ -203,7 +203,7 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), alternativ
         F.sum(c * c * c - c).alias("ties"),
     )
     n = F.col("n").cast("double")
-    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
     stat = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     return s.select(
         *keys, "n", "w_plus", "w_minus", stat.alias("statistic"), z.alias("z"),
@@ -230,7 +230,7 @@ def mann_whitney(df: DataFrame, x: str, side: str, first: str, keys: Sequence[st
     n = na + nb
     s = s.withColumn("u", F.col("ra") - na * (na + 1) / 2)
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.col("u") - na * nb / 2 + 0.5) / sd
+    z = F.try_divide(F.col("u") - na * nb / 2 + 0.5, sd)
     return s.select(*keys, "n_a", "n_b", "u", z.alias("z"), P.p_normal_lower()(z).alias("p_less"))
 
 
@@ -247,7 +247,7 @@ def seen_unseen_test(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return F.sqrt(F.avg(F.when(F.col("seen") == flag, F.col("ae") * F.col("ae"))))
 
     agg = rows.groupBy(*keys).agg(
-        rmse(True).alias("rmse_seen"), rmse(False).alias("rmse_unseen"), (rmse(False) / rmse(True)).alias("rmse_ratio")
+        rmse(True).alias("rmse_seen"), rmse(False).alias("rmse_unseen"), F.try_divide(rmse(False), rmse(True)).alias("rmse_ratio")
     )
     med = quantiles(rows, "ae", [0.5], [*keys, "side"])
     med = med.groupBy(*keys).agg(
@@ -281,9 +281,9 @@ def anova(df: DataFrame, y: str, cat: str, keys: Sequence[str] = ()) -> DataFram
         F.count("*").alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)).alias("ssb"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
     )
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
+    f = F.try_divide(F.col("ssb") * (F.col("n") - F.col("k")), F.col("ssw") * (F.col("k") - 1))
     return s.select(
-        *keys, "k", "n", f.alias("f"), (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta2"),
+        *keys, "k", "n", f.alias("f"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"),
         P.p_f()(f, F.col("k") - 1, F.col("n") - F.col("k")).alias("p"),
     )
 
@@ -310,7 +310,7 @@ def t_interval(df: DataFrame, d: str, keys: Sequence[str] = ()) -> DataFrame:
     s = df.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
     se = F.col("sd") / F.sqrt("n")
     half = P.t_quantile(0.975)(F.col("n") - 1) * se
-    t = F.col("mean") / se
+    t = F.try_divide(F.col("mean"), se)
     return s.withColumn("t", t).withColumn("p", P.p_t_two_sided()("t", F.col("n") - 1)).withColumn(
         "lo", F.col("mean") - half
     ).withColumn("hi", F.col("mean") + half)
@@ -342,10 +342,10 @@ def friedman(df: DataFrame, block: str, treat: str, score: str, keys: Sequence[s
         F.sum(F.col("rs") * F.col("rs")).alias("rss"), F.sum(F.pow(F.col("os") - n * (k + 1) / 2, 2)).alias("s"),
     )
     raw = 12.0 / (n * k * (k + 1)) * F.col("rss") - 3 * n * (k + 1)
-    chi2 = raw / (1 - F.col("ties") / (n * (k * k * k - k)))
+    chi2 = F.try_divide(raw, 1 - F.try_divide(F.col("ties"), n * (k * k * k - k)))
     return s.select(
         *keys, "n", "k", chi2.alias("chi2"), P.p_chi2()(chi2, k - 1).alias("p"),
-        (12 * F.col("s") / (n * n * (k * k * k - k))).alias("kendall_w"),
+        F.try_divide(12 * F.col("s"), n * n * (k * k * k - k)).alias("kendall_w"),
     )
 
 

@@ -34,8 +34,14 @@ def regression_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(*metric_columns())
 
 
+def pearson(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation, null where one side does not vary."""
+    vary = (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
+    return F.when(vary, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), out: str = "pearson") -> DataFrame:
-    return df.groupBy(*keys).agg(F.corr(x, y).alias(out))
+    return df.groupBy(*keys).agg(pearson(x, y).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), out: str = "spearman") -> DataFrame:
@@ -207,11 +213,8 @@ def matrix_agreement(a: DataFrame, b: DataFrame, ident: str = "id", vec: str = "
     pb = b.select(ident, F.posexplode(vec).alias("pos", "vb"))
     j = pa.join(pb, [ident, "pos"]).select(ident, "pos", F.col("va").cast("double"), F.col("vb").cast("double"))
 
-    def defined(c: Column) -> Column:
-        return F.when(~F.isnan(c), c)
-
-    per_row = j.groupBy(ident).agg(F.corr("va", "vb").alias("r")).withColumn("r", defined(F.col("r")))
-    per_col = j.groupBy("pos").agg(F.corr("va", "vb").alias("r")).agg(F.avg(defined(F.col("r"))).alias("mean_col_r"))
+    per_row = j.groupBy(ident).agg(pearson("va", "vb").alias("r"))
+    per_col = j.groupBy("pos").agg(pearson("va", "vb").alias("r")).agg(F.avg("r").alias("mean_col_r"))
     worst = j.agg(F.max(F.abs(F.col("va") - F.col("vb"))).alias("max_abs_diff"))
     low = per_row.agg(F.min("r").alias("min_row_r"))
     return quantiles(per_row, "r", [0.5]).select(

@@ -108,7 +108,7 @@ def i5(spark, sf):
 @query("i6_spearman_pearson", X.WITH_PREDS + """,
 r AS (SELECT part, model, y, pred, rank() OVER (PARTITION BY part, model ORDER BY y) + (count(*) OVER (PARTITION BY part, model, y) - 1) / 2.0 AS ry,
   rank() OVER (PARTITION BY part, model ORDER BY pred) + (count(*) OVER (PARTITION BY part, model, pred) - 1) / 2.0 AS rp FROM preds WHERE role = 'test')
-SELECT part, model, round(corr(ry, rp), 6) AS spearman, round(corr(y, pred), 6) AS pearson FROM r GROUP BY ALL""")
+SELECT part, model, CASE WHEN var_pop(rp) > 0 THEN round(corr(ry, rp), 6) END AS spearman, CASE WHEN var_pop(pred) > 0 THEN round(corr(y, pred), 6) END AS pearson FROM r GROUP BY ALL""")
 def i6(spark, sf):
     h, by = X.held_out(spark, sf), ["part", "model"]
     return M.spearman(h, "y", "pred", by).join(M.correlation(h, "y", "pred", by), by)
