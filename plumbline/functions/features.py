@@ -40,6 +40,11 @@ def token_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(tokens(text)))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate a costly expression once and use it several times (the optimizer merges projections)."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def _fold(bits: Column, nbits: int | None) -> Column:
     return bits if nbits is None else bits % F.lit(nbits)
 
@@ -59,18 +64,14 @@ def shingles(words: Column, r: int) -> Column:
 
 def shingle_bits(df: DataFrame, ident: str, text: str, r: int = 2, nbits: int | None = 2048) -> DataFrame:
     """(id, bits): the distinct hashed shingles of each text, sorted."""
-    # the token array is a column of its own, so that it is split once and not once per shingle
-    words = df.select(F.col(ident), tokens(F.col(text)).alias("_w"))
-    hashed = F.transform(
-        F.array_distinct(shingles(F.col("_w"), r)), lambda s: _fold(md5_number(s, 15), nbits)
-    )
-    return words.select(F.col(ident), F.array_sort(F.array_distinct(hashed)).alias("bits"))
+    runs = _let(tokens(F.col(text)), lambda w: F.array_distinct(shingles(w, r)))
+    hashed = F.transform(runs, lambda s: _fold(md5_number(s, 15), nbits))
+    return df.select(F.col(ident), F.array_sort(F.array_distinct(hashed)).alias("bits"))
 
 
 def shingle_counts(df: DataFrame, ident: str, text: str, r: int = 2, nbits: int | None = 2048) -> DataFrame:
     """(id, bit, n): how often each hashed shingle occurs."""
-    words = df.select(F.col(ident), tokens(F.col(text)).alias("_w"))
-    each = words.select(F.col(ident), F.explode(shingles(F.col("_w"), r)).alias("_s"))
+    each = df.select(F.col(ident), F.explode(_let(tokens(F.col(text)), lambda w: shingles(w, r))).alias("_s"))
     return (
         each.select(ident, _fold(md5_number(F.col("_s"), 15), nbits).alias("bit"))
         .groupBy(ident, "bit")
@@ -123,17 +124,14 @@ def template_key(text: Column, n_words: int = 2) -> Column:
 
 
 # ---------------------------------------------------------------- packed bits
-def pack_bits(bits: Column, nbits: int = 2048) -> Column:
-    """Set positions as ``nbits/64`` 64-bit words."""
-    def word(w: Column) -> Column:
-        mine = F.filter(bits, lambda b: F.floor(b / 64) == w)
-        return F.aggregate(
-            mine,
-            F.lit(0).cast("bigint"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))),
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.lit(nbits // 64 - 1)), word)
+def pack_bits(df: DataFrame, ident: str, bits: str, nbits: int = 2048) -> DataFrame:
+    """(id, fp): set positions as ``nbits/64`` 64-bit words."""
+    each = df.select(F.col(ident).alias("id"), F.explode_outer(bits).alias("b"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b") % 64).cast("int"))
+    words = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("b") / 64) == w, one)), F.lit(0).cast("bigint")) for w in range(nbits // 64)
+    ]
+    return each.groupBy("id").agg(F.array(*words).alias("fp"))
 
 
 def popcount(words: Column) -> Column:
@@ -145,17 +143,3 @@ def bit_tanimoto(a: Column, b: Column) -> Column:
     both = popcount(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
     either = popcount(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
     return both / F.greatest(either, F.lit(1))
-
-
-def pack_bytes(bits: Column, nbits: int = 2048) -> Column:
-    """Set positions as a compact binary column of ``nbits/8`` bytes (position 0 first)."""
-    marks = F.transform(
-        F.sequence(F.lit(0), F.lit(nbits // 4 - 1)),
-        lambda q: F.hex(
-            F.when(F.array_contains(bits, (q * 4).cast("bigint")), 8).otherwise(0)
-            + F.when(F.array_contains(bits, (q * 4 + 1).cast("bigint")), 4).otherwise(0)
-            + F.when(F.array_contains(bits, (q * 4 + 2).cast("bigint")), 2).otherwise(0)
-            + F.when(F.array_contains(bits, (q * 4 + 3).cast("bigint")), 1).otherwise(0)
-        ),
-    )
-    return F.unhex(F.array_join(marks, ""))

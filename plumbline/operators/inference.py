@@ -326,15 +326,15 @@ def friedman(df: DataFrame, block: str, treat: str, score: str, keys: Sequence[s
     w = Window.partitionBy(*keys, block)
     asc = w.orderBy(score)
     tied = Window.partitionBy(*keys, block, score)
-    r = df.withColumn("mid", F.rank().over(asc) + (F.count("*").over(tied) - 1) / 2.0).withColumn(
-        "ord", F.row_number().over(w.orderBy(F.desc(score), F.asc(treat)))
-    ).withColumn("t", F.count("*").over(tied).cast("double"))
+    r = df.withColumn("_mid", F.rank().over(asc) + (F.count("*").over(tied) - 1) / 2.0).withColumn(
+        "_ord", F.row_number().over(w.orderBy(F.desc(score), F.asc(treat)))
+    ).withColumn("_t", F.count("*").over(tied).cast("double"))
     dims = r.groupBy(*keys).agg(
         F.count_distinct(block).alias("n"), F.count_distinct(treat).alias("k"),
-        F.sum(F.col("t") * F.col("t") - 1).alias("ties"),  # each of t tied rows adds t^2 - 1, so t^3 - t per tie
+        F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"),  # each of t tied rows adds t^2 - 1, so t^3 - t per tie
     )
     sums = with_totals(
-        r.groupBy(*keys, treat).agg(F.sum("mid").alias("rs"), F.sum("ord").alias("os")), dims, keys
+        r.groupBy(*keys, treat).agg(F.sum("_mid").alias("rs"), F.sum("_ord").alias("os")), dims, keys
     )
     n, k = F.col("n"), F.col("k")
     s = sums.groupBy(*keys).agg(

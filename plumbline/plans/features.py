@@ -53,8 +53,7 @@ c AS (SELECT a.id, count(*) AS c FROM d a JOIN d b ON b.id = a.id + 1 AND a.bit
 SELECT x.id, x.n AS n_bits, round(coalesce(c, 0) / greatest(x.n + y.n - coalesce(c, 0), 1), 6) AS sim FROM n x JOIN n y ON y.id = x.id + 1 LEFT JOIN c ON c.id = x.id""")
 def f6(spark, sf):
     b = E.shingle_bits(S.table(spark, sf, "documents"), "doc_id", "text", 2, 2048)
-    p = b.select(F.col("doc_id").alias("id"), E.pack_bits(F.col("bits"), 2048).alias("fp"))
-    p = X.settle(p)
+    p = X.settle(E.pack_bits(b, "doc_id", "bits", 2048))
     q = p.select((F.col("id") - 1).alias("id"), F.col("fp").alias("fq"))
     return p.join(q, "id").select("id", E.popcount(F.col("fp")).alias("n_bits"), E.bit_tanimoto(F.col("fp"), F.col("fq")).alias("sim"))
 

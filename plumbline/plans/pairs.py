@@ -149,9 +149,9 @@ def enrichments(spark, sf):
     return e.withColumn("observed", F.round("observed", 9)).withColumn("null_mean", F.round("null_mean", 9))
 
 
-@query("r6_project_scores", SCORES_SQL + " SELECT id, method, unit, round(score, 6)::DOUBLE AS score FROM us")
+@query("r6_project_scores", SCORES_SQL + " SELECT id, method, unit, round(score + 1.23e-8, 6)::DOUBLE AS score FROM us")
 def r6q(spark, sf):
-    return unit_scores(spark, sf)
+    return unit_scores(spark, sf).withColumn("score", F.col("score") + X.NUDGE)
 
 
 @query("r7_group_enrichment", SCORES_SQL + " SELECT id, method, grp, n_in, n_units, round(observed, 6)::DOUBLE AS observed, round(null_mean, 6)::DOUBLE AS null_mean FROM en")

@@ -45,11 +45,14 @@ def s4(spark, sf):
     return d.select("rep", "id", F.size("features").alias("width"), total.alias("total"))
 
 
+CHUNK = 100
+
+
 @query("s5_partitions_to_long", X.WITH_ENT + "," + X.PRIMARY_SQL + " SELECT split, id, role FROM prim")
 def s5(spark, sf):
-    # the compact form holds one array per split side, as the stored partitions do
+    # the compact form: arrays of the ids of each side, at most CHUNK of them in a row
     p = X.primary(spark, sf)
-    wide = p.groupBy("split").agg(
+    wide = p.groupBy("split", F.floor(F.col("id") / CHUNK).alias("chunk")).agg(
         *[F.collect_list(F.when(F.col("role") == r, F.col("id"))).alias(f"{r}_idx") for r in ("train", "test")]
     )
     return S.partitions_to_long(wide)
@@ -61,10 +64,12 @@ def s6(spark, sf):
     sides = []
     for role, pred in (("train", "oof"), ("test", "test")):
         z = F.array_sort(F.collect_list(F.struct("id", "y", "pred")))
-        sides.append(p.where(F.col("role") == role).groupBy(F.col("part").alias("split"), "model").agg(z.alias("z")).select(
-            "split", "model", F.col("z.id").alias(f"{role}_idx"), F.col("z.y").alias(f"y_{role}"), F.col("z.pred").alias(pred)
+        sides.append(p.where(F.col("role") == role).groupBy(
+            F.col("part").alias("split"), "model", F.floor(F.col("id") / CHUNK).alias("chunk")
+        ).agg(z.alias("z")).select(
+            "split", "model", "chunk", F.col("z.id").alias(f"{role}_idx"), F.col("z.y").alias(f"y_{role}"), F.col("z.pred").alias(pred)
         ))
-    return S.predictions_to_long(sides[0].join(sides[1], ["split", "model"]))
+    return S.predictions_to_long(sides[0].join(sides[1], ["split", "model", "chunk"], "full_outer"))
 
 
 @query("s7_read_queries", r"""
