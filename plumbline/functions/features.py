@@ -64,9 +64,11 @@ def shingles(words: Column, r: int) -> Column:
 
 def shingle_bits(df: DataFrame, ident: str, text: str, r: int = 2, nbits: int | None = 2048) -> DataFrame:
     """(id, bits): the distinct hashed shingles of each text, sorted."""
+    # hashed after the explode, where the expressions are compiled; a text was one row, so its set is one too
     runs = _let(tokens(F.col(text)), lambda w: F.array_distinct(shingles(w, r)))
-    hashed = F.transform(runs, lambda s: _fold(md5_number(s, 15), nbits))
-    return df.select(F.col(ident), F.array_sort(F.array_distinct(hashed)).alias("bits"))
+    each = df.select(F.col(ident), F.explode_outer(runs).alias("_s"))
+    bit = _fold(md5_number(F.col("_s"), 15), nbits)
+    return each.groupBy(ident).agg(F.array_sort(F.collect_set(bit)).alias("bits"))
 
 
 def shingle_counts(df: DataFrame, ident: str, text: str, r: int = 2, nbits: int | None = 2048) -> DataFrame:

@@ -32,7 +32,8 @@ SELECT level, count(*) AS n_unique, count(*) FILTER (n > 1) AS n_groups, sum(CAS
   round(coalesce(max(spread) FILTER (n > 1), 0), 6) AS max_spread, count(*) FILTER (n > 1 AND spread > 1) AS n_spread_gt_1,
   round(coalesce(median(spread) FILTER (n > 1), 0), 6) AS median_spread FROM g GROUP BY level""")
 def a3(spark, sf):
-    d = A.norm_keys(S.table(spark, sf, "documents").withColumn("y", F.log10("n_chars")), "text")
+    docs = S.spread(S.table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    d = A.norm_keys(docs.withColumn("y", F.log10("n_chars")), "text")
     return A.duplicate_report(d, A.KEY_LEVELS, "y")
 
 

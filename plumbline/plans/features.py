@@ -6,6 +6,10 @@ from plumbline.plans import fixtures as X
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
+def _docs(spark, sf):
+    return S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 SHINGLE_SQL = f"""WITH t AS (SELECT doc_id AS id, {X.TOK} AS w FROM documents),
 sh AS (SELECT id, unnest(w) AS s FROM t UNION ALL SELECT id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM t),
 bt AS (SELECT id, ('0x' || substr(md5(s), 1, 15))::BIGINT % 2048 AS bit FROM sh)"""
@@ -13,7 +17,7 @@ bt AS (SELECT id, ('0x' || substr(md5(s), 1, 15))::BIGINT % 2048 AS bit FROM sh)
 
 @query("f1_shingle_bits", SHINGLE_SQL + " SELECT id, count(DISTINCT bit) AS n_bits, min(bit) AS lo, max(bit) AS hi, sum(DISTINCT bit)::BIGINT AS total FROM bt GROUP BY id")
 def f1(spark, sf):
-    b = E.shingle_bits(S.table(spark, sf, "documents"), "doc_id", "text", 2, 2048)
+    b = E.shingle_bits(_docs(spark, sf), "doc_id", "text", 2, 2048)
     return b.select(F.col("doc_id").alias("id"), F.explode("bits").alias("bit")).groupBy("id").agg(
         F.count("*").alias("n_bits"), F.min("bit").alias("lo"), F.max("bit").alias("hi"), F.sum("bit").alias("total")
     )
@@ -21,7 +25,7 @@ def f1(spark, sf):
 
 @query("f2_shingle_counts", SHINGLE_SQL + " SELECT id, bit, count(*) AS n FROM bt GROUP BY ALL")
 def f2(spark, sf):
-    return E.shingle_counts(S.table(spark, sf, "documents"), "doc_id", "text", 2, 2048).withColumnRenamed("doc_id", "id")
+    return E.shingle_counts(_docs(spark, sf), "doc_id", "text", 2, 2048).withColumnRenamed("doc_id", "id")
 
 
 KEYSET_SQL = "SELECT doc_id AS id, " + " + ".join("regexp_matches(text, '" + p.replace("'", "''") + f"')::BIGINT * {2**i}" for i, (_, p) in enumerate(E.KEY_PATTERNS)) + " AS mask FROM documents"
@@ -31,7 +35,7 @@ KEYSET_SQL = "SELECT doc_id AS id, " + " + ".join("regexp_matches(text, '" + p.r
 def f3(spark, sf):
     bits = E.keyset_bits(F.col("text"))
     mask = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a + F.pow(F.lit(2.0), b).cast("bigint"))
-    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), mask.alias("mask"))
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), mask.alias("mask"))
 
 
 @query("f4_descriptors", f"""WITH t AS (SELECT doc_id AS id, text, length(text) AS n, {X.TOK} AS w FROM documents)
@@ -40,19 +44,19 @@ SELECT id, n AS n_chars, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGI
     f"round((n - length(regexp_replace(text, '{p}', '', 'g'))) / nullif(n, 0), 6) AS {c}" for c, p in
     (("digit_share", "[0-9]"), ("upper_share", "[A-Z]"), ("space_share", "[ \\t\\r\\n]"), ("punct_share", "[.,;:!?]"))) + " FROM t")
 def f4(spark, sf):
-    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in E.descriptors(F.col("text")).items()])
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in E.descriptors(F.col("text")).items()])
 
 
 @query("f5_template_key", X.WITH_ENT + " SELECT id, tmpl FROM ent")
 def f5(spark, sf):
-    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), E.template_key(F.col("text")).alias("tmpl"))
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), E.template_key(F.col("text")).alias("tmpl"))
 
 
 @query("f6_packed_tanimoto", SHINGLE_SQL + """, d AS (SELECT DISTINCT id, bit FROM bt), n AS (SELECT id, count(*) AS n FROM d GROUP BY id),
 c AS (SELECT a.id, count(*) AS c FROM d a JOIN d b ON b.id = a.id + 1 AND a.bit = b.bit GROUP BY a.id)
 SELECT x.id, x.n AS n_bits, round(coalesce(c, 0) / greatest(x.n + y.n - coalesce(c, 0), 1), 6) AS sim FROM n x JOIN n y ON y.id = x.id + 1 LEFT JOIN c ON c.id = x.id""")
 def f6(spark, sf):
-    b = E.shingle_bits(S.table(spark, sf, "documents"), "doc_id", "text", 2, 2048)
+    b = E.shingle_bits(_docs(spark, sf), "doc_id", "text", 2, 2048)
     p = X.settle(E.pack_bits(b, "doc_id", "bits", 2048))
     q = p.select((F.col("id") - 1).alias("id"), F.col("fp").alias("fq"))
     return p.join(q, "id").select("id", E.popcount(F.col("fp")).alias("n_bits"), E.bit_tanimoto(F.col("fp"), F.col("fq")).alias("sim"))

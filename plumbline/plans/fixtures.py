@@ -17,7 +17,7 @@ from plumbline.operators import splits
 from plumbline.operators.ranking import quantiles
 from plumbline.operators.selection import split_cell_key
 from plumbline.operators.similarity import nn_similarity, self_nn_similarity
-from plumbline.sources.tables import table
+from plumbline.sources.tables import spread, table
 
 K = 5
 SEED_STRATIFIED, SEED_SOURCE, SEED_INNER, SEED_TEMPLATE = 11, 12, 13, 14
@@ -53,7 +53,7 @@ def shared(fn):
 @shared
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """(id, cat, grp, tmpl, n_chars, y, x1, x2): documents as entities, y = log10 of their length."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     n = F.greatest(F.size(token_set(F.col("text"))), F.lit(1)).cast("double")
     return d.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("cat"), F.col("source").alias("grp"),
@@ -286,7 +286,8 @@ WITH_CELLS = WITH_PREDS + "," + CELLS_SQL
 @shared
 def sets(spark: SparkSession, sf: str) -> DataFrame:
     """(id, els): distinct tokens of each document."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), token_set(F.col("text")).alias("els"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return d.select(F.col("doc_id").alias("id"), token_set(F.col("text")).alias("els"))
 
 
 TOK_SQL = f"""

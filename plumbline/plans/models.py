@@ -15,7 +15,7 @@ COLS = ["n_tokens", "n_types", "type_token_ratio", "mean_token_length", "digit_s
 @X.shared
 def described(spark, sf):
     """(id, y, role, fold, els, descriptors, features, pred): documents under the source-disjoint split."""
-    d = S.table(spark, sf, "documents")
+    d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = d.select(F.col("doc_id").alias("id"), *[c.cast("double").alias(n) for n, c in descriptors(F.col("text")).items() if n in COLS])
     inner = X.folds(spark, sf).where("design = 'source'").select("id", F.col("inner_f").cast("int").alias("fold"))
     s = X.slice_scores(spark, sf).select("id", "y", "role", "pred")

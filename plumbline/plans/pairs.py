@@ -133,7 +133,7 @@ def units(spark, sf):
 
 @X.shared
 def unit_scores(spark, sf):
-    d = S.table(spark, sf, "documents")
+    d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     tok = X.settle(T.token_spans(d, "doc_id", "text"))
     a, b = draw(1000, 1, F.col("id"), F.col("tok")), draw(1000, 2, F.col("id"), F.col("tok"))
     both = tok.select("id", "tok", F.inline(F.array(
