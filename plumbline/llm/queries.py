@@ -6,28 +6,53 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, radix_dedup, simhash
+from plumbline.llm import bpe, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, warc
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf, "documents"))
+
+
+def op5_host_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return host_quality.quality_query(table(spark, sf, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op7_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return line_chunks.dedup_query(table(spark, sf, "documents"))
+
+
 def op8_radix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return radix_dedup.exact_dedup(table(spark, sf, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed_query(table(spark, sf, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return bpe.tokenized(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_warc_segments": (op1_warc_segments, warc.ORACLE),
+    "op4_license_scan": (op4_license_scan, license_scan.ORACLE),
+    "op5_host_quality": (op5_host_quality, host_quality.ORACLE),
     "op6_simhash": (op6_simhash, None),
+    "op7_line_chunks": (op7_line_chunks, None),
     "op8_radix_dedup": (op8_radix_dedup, radix_dedup.ORACLE),
+    "op9_mixing": (op9_mixing, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
