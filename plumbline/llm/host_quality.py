@@ -45,14 +45,16 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
                           lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    return d.withColumns({
+    counts = {
         "n_words": F.size(w).cast("bigint"),
         "word_chars": F.char_length(F.regexp_replace(t, SPACE, "")).cast("bigint"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
         "n_repeat_words": covered.cast("bigint"),
         "_lines": F.size(lines),
-    }).drop("_w", "_win", "_hit")
+    }
+    # One generated row each: a filter on a count cannot be moved below and repeat its costly expression.
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))))
 
 
 def _soft() -> Column:

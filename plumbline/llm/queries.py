@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,4 +56,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_radix_dedup": (op8_radix_dedup, radix_dedup.ORACLE),
     "op9_mixing": (op9_mixing, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.util import lookup, salt, stored, whole_text, with_group
@@ -238,7 +238,33 @@ def _spanning(index: np.ndarray, probes: np.ndarray, k: int) -> tuple[np.ndarray
     return nodes[moved], nodes[label[moved]]
 
 
-def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int = 3) -> DataFrame:
+def best_parts(n: int, k: int) -> int:
+    """How many groups of bits probe ``n`` fingerprints with the least work; every number finds the same links.
+
+    A probe row costs as much as some 500 comparisons in a cell, and a value of w bits meets n / 2^w rows.
+    """
+
+    def cost(m: int) -> float:
+        widths = [-(-BITS // m)] * m
+        t = _choose(np.full((1, m), n / 2.0 ** widths[0]), widths, k)[0]
+        return sum(_ball(w, r) * (1 + n / 2.0**w / 500) for w, r in zip(widths, t.tolist()) if r >= 0)
+
+    return min(range(2, 2 * k + 4), key=cost)
+
+
+def _resolved(docs: DataFrame, ident: str, text: str, width: int, k: int, parts: int | None) -> DataFrame:
+    """(doc_id, th, fp, best): best is the first (id, text hash) of the row's component."""
+    rows = stored(docs.select(F.col(ident).alias("doc_id"), F.xxhash64(whole_text(text)).alias("th"), simhash(whole_text(text), width).alias("fp")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("least")
+    fps = stored(rows.groupBy("fp").agg(first), "simhash-fps")
+    links = near_links(fps, k, parts or best_parts(fps.count(), k)).distinct()
+    label = connected_components(links).withColumnsRenamed({"id": "fp"})
+    named = fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = with_group(named, ["component"], salt("fp"), best=(F.col("least"), "min")).select("fp", "best")
+    return lookup(rows, stored(named, "simhash-named"), ["fp"], salt("doc_id", "th"))
+
+
+def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
     Words are runs without white space, A-Z in lower case, shingles ``width`` words with repeats; a shorter
@@ -247,11 +273,14 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     the row's own included (null only if every id in the component is null). Repeated rows and ids each
     keep their row. Other columns are ignored; an empty table gives an empty table.
     """
-    rows = stored(docs.select(F.col(ident).alias("doc_id"), simhash(whole_text(text), width).alias("fp")), "simhash-rows")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    links = near_links(fps, k, parts).distinct()
-    label = connected_components(links).withColumnsRenamed({"id": "fp"})
-    named = fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = with_group(named, ["component"], salt("fp"), component_id=(F.col("least"), "min")).select("fp", "component_id")
-    out = lookup(rows, stored(named, "simhash-named"), ["fp"], salt("doc_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = _resolved(docs, ident, text, width, k, parts)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one, with the smallest id (null ids last, then by text hash)."""
+    stay = _resolved(docs, ident, text, width, k, parts).select(F.col("best.doc_id").alias("_kid"), F.col("best.th").alias("_kth")).distinct()
+    rows = docs.withColumn("_th", F.xxhash64(whole_text(text)))
+    rows = rows.join(stay, F.col(ident).eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
+    one = Window.partitionBy(ident, "_th").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (ident, text)] or [F.lit(1)])
+    return rows.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn", "_th")
