@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, warc
+from plumbline.llm import bpe, context_mix, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, warc
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf, "pages"))
 
 
+def op2_context_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return context_mix.scored(table(spark, sf, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf, "documents"))
 
@@ -49,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_warc_segments": (op1_warc_segments, warc.ORACLE),
+    "op2_context_mix": (op2_context_mix, None),
     "op4_license_scan": (op4_license_scan, license_scan.ORACLE),
     "op5_host_quality": (op5_host_quality, host_quality.ORACLE),
     "op6_simhash": (op6_simhash, None),
