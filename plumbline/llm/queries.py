@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, context_mix, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, warc
+from plumbline.llm import bpe, context_mix, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, suffix_dedup, warc
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_context_mix(spark: SparkSession, sf: str) -> DataFrame:
     return context_mix.scored(table(spark, sf, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf, "documents")).drop("kept")
+
+
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf, "documents"))
 
@@ -54,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_warc_segments": (op1_warc_segments, warc.ORACLE),
     "op2_context_mix": (op2_context_mix, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_license_scan": (op4_license_scan, license_scan.ORACLE),
     "op5_host_quality": (op5_host_quality, host_quality.ORACLE),
     "op6_simhash": (op6_simhash, None),

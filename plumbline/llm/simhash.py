@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.util import lookup, salt, stored, whole_text, with_group
 from plumbline.operators.graph import connected_components
 
-BITS, SEED, CELL, NODES = 64, 42, 1000, 65536
+BITS, SEED, CELL, NODES, PER_PROBE = 64, 42, 1000, 65536, 500
 
 
 def _fingerprint(text: str, width: int) -> int:
@@ -107,8 +107,9 @@ def _part_value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 def _choose(counts: np.ndarray, widths: list[int], k: int) -> np.ndarray:
     """Thresholds (rows x parts) of least estimated cost that add up to k - parts + 1.
 
-    ``counts``: rows with the same value in each part. Within t bits of a value, the rows found are
-    estimated as that count for the value itself plus one row for each other value probed.
+    ``counts``: rows with the same value in each part. Within t bits of a value, the candidates are
+    estimated as that count for the value itself plus one for each other value probed; a probe costs as
+    much as ``PER_PROBE`` comparisons.
     """
     n, m = counts.shape
     around = [[_ball(w, t) for t in range(k + 1)] for w in widths]
@@ -119,7 +120,7 @@ def _choose(counts: np.ndarray, widths: list[int], k: int) -> np.ndarray:
     for i in range(m):
         new = np.full_like(best, np.inf)
         for t in range(-1, k + 1):
-            cost = np.zeros(n) if t < 0 else counts[:, i] + 2.0 * (around[i][t] - 1) + 1.0
+            cost = np.zeros(n) if t < 0 else around[i][t] + (counts[:, i] + around[i][t] - 1) / PER_PROBE
             for s in range(t + 1, want + 1):
                 c = best[:, s - t - 1] + cost
                 better = c < new[:, s]
@@ -241,13 +242,13 @@ def _spanning(index: np.ndarray, probes: np.ndarray, k: int) -> tuple[np.ndarray
 def best_parts(n: int, k: int) -> int:
     """How many groups of bits probe ``n`` fingerprints with the least work; every number finds the same links.
 
-    A probe row costs as much as some 500 comparisons in a cell, and a value of w bits meets n / 2^w rows.
+    A value of w bits meets n / 2^w rows.
     """
 
     def cost(m: int) -> float:
         widths = [-(-BITS // m)] * m
         t = _choose(np.full((1, m), n / 2.0 ** widths[0]), widths, k)[0]
-        return sum(_ball(w, r) * (1 + n / 2.0**w / 500) for w, r in zip(widths, t.tolist()) if r >= 0)
+        return sum(_ball(w, r) * (1 + n / 2.0**w / PER_PROBE) for w, r in zip(widths, t.tolist()) if r >= 0)
 
     return min(range(2, 2 * k + 4), key=cost)
 
