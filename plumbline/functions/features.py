@@ -117,12 +117,12 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "a", "der", "die", "und", "d
 NO_TEMPLATE = "<none>"
 
 
-def template_key(text: Column, n_words: int = 2) -> Column:
-    """Skeleton of a text: its first words once digits, punctuation and stop words are gone."""
+def template_key(text: Column) -> Column:
+    """Skeleton of a whole text without digits, punctuation and stop words, as an md5; one key where nothing is left."""
     plain = F.regexp_replace(F.lower(text), r"[0-9.,;:!?|#$%&*\"'()<>/@_=+-]+", " ")
     words = F.filter(F.split(plain, SPACES), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    key = F.array_join(F.slice(words, 1, n_words), " ")
-    return F.when(text.isNull() | (key == ""), F.lit(NO_TEMPLATE)).otherwise(key)
+    key = F.array_join(words, " ")
+    return F.when(text.isNull() | (key == ""), F.lit(NO_TEMPLATE)).otherwise(F.md5(key))
 
 
 # ---------------------------------------------------------------- packed bits

@@ -10,6 +10,8 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
+MAX_TERMS = 100_000  # of a continued fraction; one that needs more is an error
+EXACT_BINOMIAL_N = 1_000_000  # beyond, the tail of fair tosses is the normal one with continuity correction
 EXACT_SIGNED_RANK_N = 50  # up to this many differences without ties the signed-rank p is exact
 
 
@@ -19,7 +21,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 1000):
+    for m in range(1, MAX_TERMS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -30,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta function did not converge for {a}, {b}, {x}")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -63,7 +65,7 @@ def gamma_upper(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
     h = d
-    for i in range(1, 1000):
+    for i in range(1, MAX_TERMS):
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -72,8 +74,8 @@ def gamma_upper(a: float, x: float) -> float:
         c = c if abs(c) > tiny else tiny
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"incomplete gamma function did not converge for {a}, {x}")
 
 
 def normal_sf(z: float) -> float:
@@ -109,6 +111,8 @@ def binom_sf_half(k: int, n: int) -> float:
     """P(X >= k) for n fair coin tosses."""
     if k <= 0:
         return 1.0
+    if n > EXACT_BINOMIAL_N:
+        return normal_sf((k - 0.5 - n / 2) / (math.sqrt(n) / 2))
     return beta_inc(k, n - k + 1, 0.5) if k <= n else 0.0
 
 
@@ -122,8 +126,20 @@ def hypergeom_sf(hits: int, n: int, actives: int, k: int) -> float:
         return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
 
     lo, hi = max(hits, 0, k - (n - actives)), min(k, actives)
-    base = log_choose(n, k)
-    return min(1.0, math.fsum(math.exp(log_choose(actives, i) + log_choose(n - actives, k - i) - base) for i in range(lo, hi + 1)))
+    if lo > hi:
+        return 0.0
+    # Terms fall away on both sides of the mode: start at the largest of the range and stop where they vanish.
+    top = min(max(((k + 1) * (actives + 1)) // (n + 2), lo), hi)
+    largest = math.exp(log_choose(actives, top) + log_choose(n - actives, k - top) - log_choose(n, k))
+    total, term, i = largest, largest, top
+    while i < hi and term > total * 1e-17:
+        term *= (actives - i) * (k - i) / ((i + 1) * (n - actives - k + i + 1))
+        total, i = total + term, i + 1
+    term, i = largest, top
+    while i > lo and term > total * 1e-17:
+        term *= i * (n - actives - k + i) / ((actives - i + 1) * (k - i + 1))
+        total, i = total + term, i - 1
+    return min(1.0, total)
 
 
 def signed_rank_sf(w: float, n: int) -> float:
@@ -178,10 +194,6 @@ def _column(fn):
     return udf
 
 
-def p_normal_two_sided():
-    return _column(lambda z: min(1.0, 2 * normal_sf(abs(z))))
-
-
 def p_normal_lower():
     return _column(lambda z: normal_sf(-z))
 

@@ -70,11 +70,11 @@ ent0 AS (
          greatest(len(list_distinct({TOK})), 1)::DOUBLE AS x1,
          array_to_string(([x for x in string_split_regex(
            regexp_replace(lower(text), '[0-9.,;:!?|#$%&*"''()<>/@_=+-]+', ' ', 'g'), '[ \t\r\n]+')
-           if x <> '' AND NOT list_contains({STOP_SQL}, x)])[1:2], ' ') AS t0
+           if x <> '' AND NOT list_contains({STOP_SQL}, x)]), ' ') AS t0
   FROM documents),
 ent AS (
   SELECT id, text, cat, grp, n_chars, y, x1, round(log10(x1), 9) AS x2,
-         CASE WHEN text IS NULL OR t0 = '' THEN '<none>' ELSE t0 END AS tmpl
+         CASE WHEN text IS NULL OR t0 = '' THEN '<none>' ELSE md5(t0) END AS tmpl
   FROM ent0)"""
 
 
