@@ -82,8 +82,10 @@ def host_rates(rows: DataFrame, host: str) -> DataFrame:
     return sums.select("_host", ((F.col("failed") + mean * strength) / (F.col("n") + strength) >= BAD_RATE).alias("bad_host"))
 
 
-def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the counts, base_failed, soft_failed, bad_host and kept.
+def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text", carry_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (without the text unless ``carry_text``) with the counts, base_failed, soft_failed, bad_host and kept.
+
+    The rules are counted once: the counted rows are stored, and both the hosts' rates and the verdicts read them.
 
     kept: not base_failed, and not (soft_failed on a bad host). A null text has no words and fails; a null
     host is a host of its own; repeated rows count as often as they come; an empty table gives an empty
@@ -95,6 +97,7 @@ def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: s
     rows = rows.withColumn("base_failed", base).withColumn("soft_failed", F.col("base_failed") | _soft()).drop("_lines")
     # Null is a host too: the key is made not null, and the flag keeps it apart from a host of that name.
     rows = rows.withColumn("_key", F.concat(F.when(F.col(host).isNull(), "0").otherwise("1"), F.coalesce(F.col(host).cast("string"), F.lit(""))))
+    rows = stored(rows if carry_text else rows.drop(text), "quality-counts")
     hosts = stored(host_rates(rows, "_key").withColumnRenamed("_host", "_key"), "host-verdicts")
     if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         out = rows.join(F.broadcast(hosts), "_key")
@@ -104,7 +107,7 @@ def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: s
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    return judged(docs.select("doc_id", "source", "text")).drop("source", "text")
+    return judged(docs.select("doc_id", "source", "text"), carry_text=False).drop("source")
 
 
 ORACLE = r"""
