@@ -151,21 +151,21 @@ def enrichment(
     )
 
 
-def enrichment_repeated(folds: DataFrame, design: str) -> DataFrame:
-    """Mean, sd, extremes over folds and folds above 1, from a table of :func:`enrichment` per fold."""
-    return folds.groupBy(design, "frac").agg(
+def enrichment_repeated(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per keys: mean, sd, extremes over folds and folds above 1, from a table of :func:`enrichment` per fold."""
+    return folds.groupBy(*keys, "frac").agg(
         F.count("*").alias("n_folds"), F.avg("ef").alias("ef_mean"), F.stddev_samp("ef").alias("ef_sd"),
         F.min("ef").alias("ef_min"), F.max("ef").alias("ef_max_fold"), F.count_if(F.col("ef") > 1).alias("n_above_one"),
     )
 
 
-def pooled_enrichment(folds: DataFrame, design: str) -> DataFrame:
-    """Enrichment from the sums over folds whose hold-outs do not overlap."""
-    s = folds.groupBy(design, "frac").agg(
+def pooled_enrichment(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per keys: enrichment from the sums over folds whose hold-outs do not overlap."""
+    s = folds.groupBy(*keys, "frac").agg(
         F.sum("k").alias("k"), F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.sum("n_act").alias("n_act")
     )
     rate, base = F.col("hits") / F.col("k"), F.col("n_act") / F.col("n")
     return s.select(
-        design, "frac", "k", "hits", (100 * rate).alias("hit_rate_pct"), (100 * base).alias("base_rate_pct"),
+        *keys, "frac", "k", "hits", (100 * rate).alias("hit_rate_pct"), (100 * base).alias("base_rate_pct"),
         F.when(F.col("n_act") > 0, rate / base).alias("ef"),
     )

@@ -213,17 +213,17 @@ def a23(spark, sf):
 
 
 def _sequence(spark, sf):
-    """Embeddings cut into 4 positions of 8 values on 2 x 4 layers; the mask leaves out the last position of odd ids."""
+    """Embeddings as 4 positions of 16 values on 6 layers; the mask leaves out the last position of odd ids."""
     e = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     g = e.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return g.select(
         "id", "layer", "pos", F.when((F.col("pos") == 3) & (F.col("id") % 2 == 1), 0).otherwise(1).alias("mask"),
-        F.transform(F.slice("v", F.col("pos") * 8 + 1, F.lit(8)), lambda x: x * (F.col("layer") + 1)).alias("vec"),
+        F.transform(F.slice("v", F.col("pos") * 16 + 1, F.lit(16)), lambda x: x * (F.col("layer") + 1)).alias("vec"),
     )
 
 
 POOL_SQL = """WITH s AS (SELECT vec_id AS id, l AS layer, p AS pos, CASE WHEN p = 3 AND vec_id % 2 = 1 THEN 0 ELSE 1 END AS mask,
-  unnest(embedding[p * 8 + 1 : p * 8 + 8]::DOUBLE[]) * (l + 1) AS v, unnest(range(0, 8)) AS dim FROM embeddings, range(6) t1(l), range(4) t2(p))
+  unnest(embedding[p * 16 + 1 : p * 16 + 16]::DOUBLE[]) * (l + 1) AS v, unnest(range(0, 16)) AS dim FROM embeddings, range(6) t1(l), range(4) t2(p))
 SELECT id, dim, round({agg}, 6) AS value FROM s WHERE {where} GROUP BY id, dim"""
 for _how, _agg, _where in (("mean", "avg(v)", "mask = 1 AND layer = 5"), ("first", "any_value(v)", "pos = 0 AND layer = 5"), ("mean_last4", "avg(v)", "mask = 1 AND layer > 1")):
 

@@ -82,13 +82,16 @@ def c4e(spark, sf):
 
 
 @query("c5_knn_preservation", """
-WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, embedding[1:2]::DOUBLE[] AS f FROM embeddings),
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, [list_sum(embedding[g * 8 + 1 : g * 8 + 8]::DOUBLE[]) FOR g IN range(8)] AS f FROM embeddings),
 hi AS (SELECT a.id, b.id AS nbr FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.e, b.e), 9), b.id) <= 15),
 lo AS (SELECT a.id, b.id AS nbr FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.f, b.f), 9), b.id) <= 15)
 SELECT round(count(*) / 15.0 / (SELECT count(*) FROM v), 6) AS preservation FROM hi JOIN lo USING (id, nbr)""")
 def c5(spark, sf):
-    v = S.table(spark, sf, "embeddings")
-    return Y.knn_preservation(v, v.withColumn("embedding", F.slice("embedding", 1, 2)), "vec_id", "embedding", 15)
+    """Neighbours kept by a projection of all 64 values: sums over eight blocks of eight."""
+    v = S.table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    block = lambda g: F.aggregate(F.slice("embedding", g * 8 + 1, F.lit(8)), F.lit(0.0), lambda a, x: a + x)
+    projected = v.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(7)), block))
+    return Y.knn_preservation(v, projected, "vec_id", "embedding", 15)
 
 
 @query("c6_landscape", "WITH" + X.TOK_SQL + "," + X.ENT_SQL + """,

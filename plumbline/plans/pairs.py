@@ -97,16 +97,16 @@ def r4(spark, sf):
     return fold_enrichment(spark, sf).drop("p")
 
 
-@query("r5_enrichment_repeated", ENR_SQL + """ SELECT design, frac, count(*) AS n_folds, round(avg(e), 6) AS ef_mean, round(stddev_samp(e), 6) AS ef_sd, round(min(e), 6)::DOUBLE AS ef_min, round(max(e), 6)::DOUBLE AS ef_max_fold,
- count(*) FILTER (e > 1) AS n_above_one FROM ef WHERE model = 'loglength | Line' GROUP BY ALL""")
+@query("r5_enrichment_repeated", ENR_SQL + """ SELECT design, model, frac, count(*) AS n_folds, round(avg(e), 6) AS ef_mean, round(stddev_samp(e), 6) AS ef_sd, round(min(e), 6)::DOUBLE AS ef_min, round(max(e), 6)::DOUBLE AS ef_max_fold,
+ count(*) FILTER (e > 1) AS n_above_one FROM ef GROUP BY ALL""")
 def r5(spark, sf):
-    return P.enrichment_repeated(fold_enrichment(spark, sf).where("model = 'loglength | Line'"), "design")
+    return P.enrichment_repeated(fold_enrichment(spark, sf), ["design", "model"])
 
 
-@query("a26_pooled_enrichment", ENR_SQL + """ SELECT design, frac, sum(k)::BIGINT AS k, sum(hits)::BIGINT AS hits, round(100.0 * sum(hits) / sum(k), 6)::DOUBLE AS hit_rate_pct, round(100.0 * sum(n_act) / sum(n), 6)::DOUBLE AS base_rate_pct,
- round(sum(hits) / sum(k) / (sum(n_act) / sum(n)), 6)::DOUBLE AS ef FROM enr WHERE model = 'lang | Mean' GROUP BY ALL""")
+@query("a26_pooled_enrichment", ENR_SQL + """ SELECT design, model, frac, sum(k)::BIGINT AS k, sum(hits)::BIGINT AS hits, round(100.0 * sum(hits) / sum(k), 6)::DOUBLE AS hit_rate_pct, round(100.0 * sum(n_act) / sum(n), 6)::DOUBLE AS base_rate_pct,
+ CASE WHEN sum(n_act) > 0 THEN round(sum(hits) / sum(k) / (sum(n_act) / sum(n)), 6)::DOUBLE END AS ef FROM enr GROUP BY ALL""")
 def a26(spark, sf):
-    return P.pooled_enrichment(fold_enrichment(spark, sf).where("model = 'lang | Mean'"), "design")
+    return P.pooled_enrichment(fold_enrichment(spark, sf), ["design", "model"])
 
 
 # ---------------------------------------------------------------- attribution tables
@@ -141,11 +141,14 @@ def unit_scores(spark, sf):
     return T.project_scores(T.span_overlap_join(tok, units(spark, sf)), both, units(spark, sf)).withColumn("score", F.round("score", 9))
 
 
+def unit_groups(spark, sf):
+    u = units(spark, sf)
+    return u.where("unit % 2 = 0").select("id", "unit", F.lit("even").alias("grp")).unionByName(u.where("unit >= 3").select("id", "unit", F.lit("late").alias("grp")))
+
+
 @X.shared
 def enrichments(spark, sf):
-    u = units(spark, sf)
-    groups = u.where("unit % 2 = 0").select("id", "unit", F.lit("even").alias("grp")).unionByName(u.where("unit >= 3").select("id", "unit", F.lit("late").alias("grp")))
-    e = T.group_enrichment(unit_scores(spark, sf), groups)
+    e = T.group_enrichment(unit_scores(spark, sf), unit_groups(spark, sf))
     return e.withColumn("observed", F.round("observed", 9)).withColumn("null_mean", F.round("null_mean", 9))
 
 
@@ -159,10 +162,14 @@ def r7(spark, sf):
     return enrichments(spark, sf)
 
 
-@query("r7_permutation_null")
+@query("r7_permutation_null", SCORES_SQL + """,
+pr AS (SELECT id, b, unit, row_number() OVER (PARTITION BY id, b ORDER BY ('0x' || substr(md5('0:' || id || ':' || b || ':' || unit), 1, 8))::BIGINT % 2147483648, unit) AS rn FROM units, range(200) t(b)),
+cn AS (SELECT us.id, method, n_in, unit, score, m FROM (SELECT id, n_in, unit, count(*) AS m FROM pr JOIN (SELECT DISTINCT id, n_in FROM en) USING (id) WHERE rn <= n_in GROUP BY ALL) q JOIN us USING (id, unit))
+SELECT en.id, en.method, grp, en.n_in, n_units, round(observed, 6)::DOUBLE AS observed, round(p.null_mean, 6)::DOUBLE AS null_mean
+FROM en JOIN (SELECT id, method, n_in, sum(score * m) / sum(m) + 1.23e-8 AS null_mean FROM cn GROUP BY ALL) p ON p.id = en.id AND p.method = en.method AND p.n_in = en.n_in""")
 def r7p(spark, sf):
-    u = units(spark, sf)
-    return T.group_enrichment(unit_scores(spark, sf), u.where("unit % 2 = 0").select("id", "unit", F.lit("even").alias("grp")), 20, 0)
+    e = T.group_enrichment(unit_scores(spark, sf), unit_groups(spark, sf), 200, 0)
+    return e.withColumn("null_mean", F.col("null_mean") + X.NUDGE).withColumn("observed", F.round("observed", 9))
 
 
 @query("r8_enrichment_summary", SCORES_SQL + """,

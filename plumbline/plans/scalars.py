@@ -77,14 +77,6 @@ def p7(spark, sf):
     return A.qc_report(A.qc_flags(S.table(spark, sf, "documents"), "text"))
 
 
-# The row families used to exercise the family map, one representation each.
-FAMILY_ROWS = [
-    ("Fingerprint baseline", "ECFP4"), ("Descriptor baseline", "Mordred"), ("Frozen chemical language model", "MoLFormer-XL"),
-    ("Fine-tuned chemical language model", "ChemBERTa-ZINC"), ("Graph neural network", "GIN"), ("Hybrid", "ECFP4+Mordred"),
-    ("Hybrid", "ECFP4+ChemBERTa-ZINC"), ("Matched descriptor ensemble", "Mordred"),
-]
-
-
 @query("p8_family_key", X.WITH_CELLS + """, c AS (
   SELECT key, rep, CASE fam WHEN 'Cat' THEN 'Fingerprint baseline' WHEN 'Src' THEN 'Descriptor baseline' WHEN 'Hyb' THEN 'Hybrid' ELSE 'Unlisted' END AS family FROM cells)
 SELECT key, CASE WHEN family = 'Fingerprint baseline' THEN 'Fp' WHEN family = 'Descriptor baseline' THEN 'Desc'
