@@ -280,8 +280,15 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
 def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one, with the smallest id (null ids last, then by text hash)."""
-    stay = _resolved(docs, ident, text, width, k, parts).select(F.col("best.doc_id").alias("_kid"), F.col("best.th").alias("_kth")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(whole_text(text)))
-    rows = rows.join(stay, F.col(ident).eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
-    one = Window.partitionBy(ident, "_th").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (ident, text)] or [F.lit(1)])
-    return rows.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn", "_th")
+    kind = docs.schema[ident].dataType
+    zero = F.lit("").cast(kind) if kind.simpleString() == "string" else F.lit(0).cast(kind)
+    key = ["_no", "_kid", "_kth"]  # never null, and the same for the join and the window: texts are shuffled once
+
+    def keyed(df: DataFrame, i: Column, th: Column) -> DataFrame:
+        return df.withColumns({"_no": i.isNull(), "_kid": F.coalesce(i, zero), "_kth": th})
+
+    best = _resolved(docs, ident, text, width, k, parts).select("best")
+    stay = keyed(best, F.col("best.doc_id"), F.col("best.th")).select(*key).distinct()
+    rows = keyed(docs, F.col(ident), F.xxhash64(whole_text(text))).join(stay, key, "left_semi")
+    one = Window.partitionBy(*key).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (ident, text)] or [F.lit(1)])
+    return rows.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

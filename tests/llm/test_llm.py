@@ -253,6 +253,8 @@ def test_line_chunks(spark, empty):
     got = line_chunks.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"]
     assert Counter((x.doc_id, x.text or "") for x in got.collect()) == brute_chunks(rows, line_chunks.WINDOW, line_chunks.DIVISOR, line_chunks.MIN_LINES)
+    clashing = line_chunks.dedup_lines(df, digest=lambda c: F.length(c).cast("bigint") % 7)  # several texts to a hash
+    assert sorted(clashing.collect(), key=str) == sorted(got.collect(), key=str)
     assert got.agg(F.sum("n_removed_lines")).first()[0] > 30 and got.where("text is null").count() == 1
     assert line_chunks.dedup_lines(empty).count() == 0
 
