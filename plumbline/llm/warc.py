@@ -150,7 +150,7 @@ def parse_record(data: bytes) -> tuple:
             head[name.strip().lower()] = value.strip()
     size = int(head["content-length"])
     block, rest = data[end + 4:end + 4 + size], data[end + 4 + size:]
-    if len(block) < size or rest not in (b"", b"\r\n\r\n"):
+    if len(block) < size or rest not in (b"", b"\r\n\r", b"\r\n\r\n"):
         raise ValueError(f"record {head.get('warc-record-id')} is not as long as declared")
     number = lambda k: int(head[k]) if k in head else None
     segment = number("warc-segment-number")
@@ -199,7 +199,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A revisit has no payload of its own. ``problem`` says why a response could not be restored: missing or
     differing segments, a wrong total length, broken framing, a digest that differs.
     """
-    lines = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\n").text(path)
+    # Only the first byte of this separator is \n before its end: a search that fails halfway, at the end of a
+    # read buffer, cannot miss another start. Bodies that end in \r\n\r\n make the longer \r\n\r\nWARC/1.1 ambiguous.
+    lines = spark.read.option("lineSep", "\nWARC/1.1\r\n").text(path)
     head = F.lower(F.substring_index("value", "\r\n\r\n", 1))
     segmented = F.contains(head, F.lit("\nwarc-segment-number:"))
 

@@ -294,6 +294,13 @@ def test_mixed(spark, docs, empty):
 
 
 # ---------------------------------------------------------------- WARC
+def test_warc_many_records(spark):
+    """Record separators fall on the ends of read buffers, behind bodies that end in line ends."""
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("concat(id, repeat('a', cast(id % 61 as int)), '\\r\\n')").alias("html")).coalesce(1)
+    got = warc.archived_pages(pages)
+    assert got.count() == 12_000 and got.where("problem is not null or record_type <> 'response'").count() == 0
+
+
 def test_warc_round_trip(spark):
     tricky = "x" * 5 + "\r\n\r\nWARC/1.1\r\n" + "é" * 30_000 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a/", "one"), (2, "http://b/\r\nX: y", "one"), (3, None, tricky), (4, "http://d/", tricky), (5, "u", None), (6, "u", ""), (7, "v", "z" * 100_000), (None, "n", "null id"), (8, "r", "same"), (8, "r", "same")]
