@@ -13,7 +13,7 @@ groups, never all pairs.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -278,17 +278,23 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one, with the smallest id (null ids last, then by text hash)."""
+def place_key(docs: DataFrame, ident: str) -> Callable[[Column, Column], list[Column]]:
+    """From an id of ``docs`` and a text hash, the columns that name a document; they are never null."""
     kind = docs.schema[ident].dataType
     zero = F.lit("").cast(kind) if kind.simpleString() == "string" else F.lit(0).cast(kind)
-    key = ["_no", "_kid", "_kth"]  # never null, and the same for the join and the window: texts are shuffled once
+    return lambda i, th: [i.isNull().alias("_no"), F.coalesce(i, zero).alias("_kid"), th.alias("_kth")]
 
-    def keyed(df: DataFrame, i: Column, th: Column) -> DataFrame:
-        return df.withColumns({"_no": i.isNull(), "_kid": F.coalesce(i, zero), "_kth": th})
 
-    best = _resolved(docs, ident, text, width, k, parts).select("best")
-    stay = keyed(best, F.col("best.doc_id"), F.col("best.th")).select(*key).distinct()
-    rows = keyed(docs, F.col(ident), F.xxhash64(whole_text(text))).join(stay, key, "left_semi")
+def keep_first(docs: DataFrame, ident: str, text: str, best: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each document (doc_id, th) in ``best``."""
+    key = ["_no", "_kid", "_kth"]  # the same for the join and the window: texts are shuffled once
+    place = place_key(docs, ident)
+    stay = best.select(*place(F.col("best.doc_id"), F.col("best.th"))).distinct()
+    rows = docs.select("*", *place(F.col(ident), F.xxhash64(whole_text(text)))).join(stay, key, "left_semi")
     one = Window.partitionBy(*key).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (ident, text)] or [F.lit(1)])
     return rows.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, k: int = 2, parts: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one, with the smallest id (null ids last, then by text hash)."""
+    return keep_first(docs, ident, text, _resolved(docs, ident, text, width, k, parts).select("best"))
