@@ -1,4 +1,4 @@
-"""Registered queries of this package: the ten operators over their whole tables, and the pipeline."""
+"""Registered queries of this package: the operators over their whole tables, and the pipeline."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, context_mix, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, suffix_dedup, warc
+from plumbline.llm import bpe, context_mix, histogram_sort, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, suffix_dedup, warc
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.tokenized(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op13_histogram_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return histogram_sort.sharded(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_warc_segments": (op1_warc_segments, warc.ORACLE),
     "op2_context_mix": (op2_context_mix, None),
@@ -66,5 +70,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_radix_dedup": (op8_radix_dedup, radix_dedup.ORACLE),
     "op9_mixing": (op9_mixing, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op13_histogram_sort": (op13_histogram_sort, histogram_sort.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
