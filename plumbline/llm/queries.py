@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, context_mix, histogram_sort, host_quality, license_scan, line_chunks, mixing, radix_dedup, simhash, suffix_dedup, token_align, warc
+from plumbline.llm import bpe, context_mix, histogram_sort, host_quality, license_scan, line_chunks, mixing, pair_bounds, radix_dedup, simhash, suffix_dedup, token_align, warc
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.tokenized(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_pair_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_bounds.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_token_align(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return token_align.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_radix_dedup": (op8_radix_dedup, radix_dedup.ORACLE),
     "op9_mixing": (op9_mixing, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_pair_bounds": (op11_pair_bounds, pair_bounds.ORACLE),
     "op12_token_align": (op12_token_align, None),
     "op13_histogram_sort": (op13_histogram_sort, histogram_sort.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
