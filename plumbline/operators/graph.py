@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.core import settle
-from plumbline.operators.similarity import representatives, set_table, similar_sets
+from plumbline.operators.prefix_join import similar_pairs
+from plumbline.operators.similarity import representatives, set_table
 
 
 # ---------------------------------------------------------------- deletion pairs
@@ -99,7 +100,8 @@ def butina(df: DataFrame, ident: str, els: str, min_sim: float = 0.6) -> DataFra
     rows = set_table(df, ident, els)
     reps = settle(representatives(rows))
     live = reps.where("n > 0")
-    pairs = settle(similar_sets(live, live, min_sim).where("q <> r").select("q", "r"))
+    once = similar_pairs(live, None, min_sim).select("q", "r")
+    pairs = settle(once.unionByName(once.select(F.col("r").alias("q"), F.col("q").alias("r"))))
     copies = live.select("rid", "copies")
     degree = pairs.join(copies.withColumnRenamed("rid", "r"), "r").groupBy("q").agg(F.sum("copies").alias("d"))
     order = settle(

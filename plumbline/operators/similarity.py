@@ -1,4 +1,5 @@
-"""Exact set similarity (Tanimoto = Jaccard on sets) as a two-level inverted-index join.
+"""Exact set similarity (Tanimoto = Jaccard on sets): threshold joins by prefixes (``prefix_join``), nearest
+sets by a two-level inverted-index join.
 
 1. Equal sets are collapsed to one representative, so a group of copies costs one row.
 2. Reference sets are dealt into blocks of bounded size, by size class and hash.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.core import settle
+from plumbline.operators.prefix_join import similar_pairs
 
 ELEMENTS_PER_BLOCK = 400_000
 QUERIES_PER_CHUNK = 2_000
@@ -226,15 +228,6 @@ def _pairs_above(queries: DataFrame, plan: DataFrame, blocks: _Blocks, k: int |
 
 
 # ---------------------------------------------------------------- threshold join
-def similar_sets(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
-    """(q, r, sim): pairs of representatives with similarity >= ``min_sim`` > 0."""
-    if not 0 < min_sim <= 1:
-        raise ValueError("min_sim must lie in (0, 1]")
-    blocks = _Blocks(right)
-    plan = settle(_rare_first(left, _frequency(right)).withColumn("t", F.lit(float(min_sim))))
-    return _pairs_above(left, plan, blocks, None, skip_same=False)
-
-
 def tanimoto_join(a: DataFrame, b: DataFrame | None, ident: str, els: str, min_sim: float) -> DataFrame:
     """Similar pairs of distinct sets: (id_a, id_b, copies_a, copies_b, sim).
 
@@ -244,9 +237,7 @@ def tanimoto_join(a: DataFrame, b: DataFrame | None, ident: str, els: str, min_s
     """
     left = settle(representatives(set_table(a, ident, els)))
     right = left if b is None else settle(representatives(set_table(b, ident, els)))
-    pairs = similar_sets(left, right, min_sim)
-    if b is None:
-        pairs = pairs.where(F.col("q") < F.col("r"))
+    pairs = similar_pairs(left, None if b is None else right, min_sim)
     la = left.select(F.col("rid").alias("q"), F.col("copies").alias("copies_a"))
     lb = right.select(F.col("rid").alias("r"), F.col("copies").alias("copies_b"))
     return (

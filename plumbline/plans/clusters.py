@@ -40,7 +40,18 @@ def clusters(spark, sf):
     return GR.butina(X.sets(spark, sf), "id", "els", 0.6)
 
 
-@query("c1_butina")
+BUTINA_SQL = "WITH RECURSIVE" + X.TOK_SQL + """,
+ov AS (SELECT a.id, b.id AS r, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id <> b.id GROUP BY ALL),
+nb AS (SELECT ov.id, r FROM ov JOIN sz x ON x.id = ov.id JOIN sz y ON y.id = r WHERE c / (x.n + y.n - c) >= 0.6),
+od AS (SELECT doc_id AS id, row_number() OVER (ORDER BY coalesce(d, 0) DESC, doc_id) AS k FROM documents LEFT JOIN (SELECT id, count(*) AS d FROM nb GROUP BY id) n ON n.id = doc_id),
+near AS (SELECT od.id, od.k, coalesce(list(o.k) FILTER (o.k IS NOT NULL), []) AS ks FROM od LEFT JOIN nb ON nb.id = od.id LEFT JOIN od o ON o.id = nb.r GROUP BY ALL),
+walk(k, cent) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT near.k, CASE WHEN list_has_any(ks, cent) THEN cent ELSE list_append(cent, near.k) END FROM walk JOIN near ON near.k = walk.k + 1),
+fin AS (SELECT cent FROM walk ORDER BY k DESC LIMIT 1),
+home AS (SELECT id, CASE WHEN list_contains(cent, k) THEN k ELSE list_min(list_intersect(ks, cent)) END AS h FROM near, fin)"""
+
+
+@query("c1_butina", BUTINA_SQL + " SELECT home.id, od.id AS cluster, home.id = od.id AS is_centroid FROM home JOIN od ON od.k = h")
 def c1(spark, sf):
     return clusters(spark, sf)
 

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import attribution as T
+from plumbline.operators import minhash as H
 from plumbline.operators import selection as L
 from plumbline.operators import similarity as J
 from plumbline.operators.graph import deletion_pairs
@@ -56,17 +57,45 @@ def j6(spark, sf):
     return bin_lookup(S.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), bins, "o_totalprice").select("o_orderkey", "label")
 
 
-@query("j7_tanimoto_join", "WITH" + X.TOK_SQL + """,
+J7_SQL = "WITH" + X.TOK_SQL + """,
 sg AS (SELECT id, md5(string_agg(w, chr(1) ORDER BY w)) AS sig, count(*) AS n FROM tok GROUP BY id),
 rp AS (SELECT sig, min(id) AS rid, count(*) AS copies, any_value(n) AS n FROM sg GROUP BY sig),
 rt AS (SELECT rid, w FROM rp JOIN tok ON tok.id = rid),
-ov AS (SELECT a.rid AS q, b.rid AS r, count(*) AS c FROM rt a JOIN rt b ON a.w = b.w AND a.rid < b.rid GROUP BY ALL)
-SELECT q AS id_a, r AS id_b, x.copies AS copies_a, y.copies AS copies_b, round(c / (x.n + y.n - c), 6) AS sim
-FROM ov JOIN rp x ON x.rid = q JOIN rp y ON y.rid = r WHERE c / (x.n + y.n - c) >= 0.4""")
+ov AS (SELECT a.rid AS q, b.rid AS r, count(*) AS c FROM rt a JOIN rt b ON a.w = b.w AND a.rid < b.rid GROUP BY ALL),
+sim AS (SELECT q AS id_a, r AS id_b, x.copies AS copies_a, y.copies AS copies_b, round(c / (x.n + y.n - c), 6) AS sim
+        FROM ov JOIN rp x ON x.rid = q JOIN rp y ON y.rid = r WHERE c / (x.n + y.n - c) >= 0.4)"""
+
+
+@query("j7_tanimoto_join", J7_SQL + " SELECT * FROM sim")
 def j7(spark, sf):
     return J.tanimoto_join(X.sets(spark, sf), None, "id", "els", 0.4)
 
 
+@X.shared
+def likely_similar(spark, sf):
+    return H.minhash_join(X.sets(spark, sf), None, "id", "els", 0.4)
+
+
+@query("j7_minhash_join")
+def j7m(spark, sf):
+    return likely_similar(spark, sf)
+
+
+@query("j7_minhash_recall", J7_SQL + " SELECT copies_a > 1 OR copies_b > 1 AS has_copies, count(*) AS n_exact, 0::BIGINT AS n_wrong, true AS recall_is_90_percent FROM sim GROUP BY 1")
+def j7r(spark, sf):
+    """The approximate join held against the exact one: pairs it should not return, and whether 90% are found."""
+    exact, found = J.tanimoto_join(X.sets(spark, sf), None, "id", "els", 0.4), likely_similar(spark, sf)
+    both = exact.withColumn("e", F.lit(1)).join(found.withColumn("f", F.lit(1)), exact.columns, "full")
+    n = both.groupBy(((F.col("copies_a") > 1) | (F.col("copies_b") > 1)).alias("has_copies")).agg(
+        F.count("e").alias("n_exact"), F.count_if(F.col("e").isNull()).alias("n_wrong"), F.count_if(F.col("f").isNotNull() & F.col("e").isNotNull()).alias("n"))
+    return n.select("has_copies", "n_exact", "n_wrong", (F.col("n") >= 0.9 * F.col("n_exact")).alias("recall_is_90_percent"))
+
+
+@query("j10_minhash_knn")
+def j10m(spark, sf):
+    return H.minhash_knn(X.sets(spark, sf), "id", "els", 5, 0.3)
+
+
 @query("j8_nn_similarity", X.WITH_NN + " SELECT split, id, nn_sim, nn_id FROM nn")
 def j8(spark, sf):
     return X.primary_nn(spark, sf)
