@@ -1,7 +1,8 @@
 """Resampling, rank tests, intervals and applicability domain.
 
 Resamples come from hashed draws, so they are the same on any engine and any storage order. A
-resample never moves rows: it is a table of weights per resampling unit, joined to the unit's sums.
+resample of clusters never moves rows: it is a table of weights per cluster, joined to the cluster's sums.
+Rows are resampled with Poisson weights drawn inside the aggregation (``poisson``).
 """
 from __future__ import annotations
 
@@ -151,35 +152,6 @@ def interaction(
     return point.join(spread, keys)
 
 
-def bootstrap_rank(
-    preds: DataFrame, keys: Sequence[str], b: int, seed: int, active: str, frac: float
-) -> DataFrame:
-    """(keys, b, spearman, hit_rate, ef): rank statistics on every resample.
-
-    A resample is a set of weights; ranks and the top fraction are taken over weighted rows. Resamples
-    without an active row have null enrichment.
-    """
-    w = resample_weights(preds, "id", b, seed, keys)
-    rows = settle(w.join(preds.select(*keys, "id", "y", "pred", F.col(active).cast("int").alias("act")), [*keys, "id"]))
-    by = [*keys, "b"]
-    rx = value_ranks(rows, by, "y", weight="w").select(*by, "y", F.col("midrank").alias("_rx"))
-    ry = value_ranks(rows, by, "pred", weight="w").select(*by, "pred", F.col("midrank").alias("_ry"))
-    rho = weighted_correlation(rows.join(rx, [*by, "y"]).join(ry, [*by, "pred"]), "_rx", "_ry", "w", by, "spearman")
-    tot = rows.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("act")).alias("n_act"))
-    cum = running_total(rows, by, [F.col("pred").desc(), F.col("id").asc()], "w", "upto").join(tot, by)
-    k = F.greatest(F.lit(1).cast("double"), F.rint(F.col("n") * F.lit(float(frac))))
-    take = F.greatest(F.lit(0), F.least(F.col("w"), k - (F.col("upto") - F.col("w"))))
-    hits = cum.groupBy(*by).agg(
-        F.sum(take * F.col("act")).alias("hits"), F.first(k).alias("k"), F.first("n").alias("n"), F.first("n_act").alias("n_act")
-    )
-    rate = F.col("hits") / F.col("k")
-    return rho.join(hits, by).select(
-        *by, "spearman",
-        F.when(F.col("n_act") > 0, 100 * rate).alias("hit_rate"),
-        F.when(F.col("n_act") > 0, rate / (F.col("n_act") / F.col("n"))).alias("ef"),
-    )
-
-
 def bootstrap_rank_ci(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(
         F.count("ef").alias("n_boot_used"), *_ci("spearman", "spearman"), *_ci("hit_rate", "hit_rate"), *_ci("ef", "ef")

@@ -335,9 +335,9 @@ def self_nn_similarity(df: DataFrame, ident: str, els: str) -> DataFrame:
 
 
 def knn_sets(df: DataFrame, ident: str, els: str, k: int) -> DataFrame:
-    """(id, rank, nbr, sim): the k most similar other rows, ties by id.
+    """(id, rank, nbr, sim): the k most similar other rows, ties by id; fewer only if there are not k other rows.
 
-    Rows without any common element are not neighbours, so an isolated row has fewer than k.
+    Rows without any common element have similarity 0 and follow by id.
     """
     rows = set_table(df, ident, els)
     reps = settle(representatives(rows))
@@ -361,7 +361,7 @@ def knn_sets(df: DataFrame, ident: str, els: str, k: int) -> DataFrame:
         .drop("_i")
     )
     mine = Window.partitionBy("id").orderBy(F.desc("sim"), F.asc("nbr"))
-    return (
+    met = settle(
         rows.select("id", "sig")
         .join(live.select("sig", F.col("rid").alias("q")), "sig")
         .join(pool, "q")
@@ -370,6 +370,13 @@ def knn_sets(df: DataFrame, ident: str, els: str, k: int) -> DataFrame:
         .where(F.col("rank") <= k)
         .select("id", "rank", "nbr", "sim")
     )
+    # A row with fewer has none left with a common element: the smallest ids that it has not, k of the first 2k + 1 at most.
+    short = rows.select("id").join(met.groupBy("id").agg(F.count("*").alias("have"), F.collect_list("nbr").alias("nbrs")), "id", "left").where(
+        F.coalesce("have", F.lit(0)) < k)
+    small = [r.id for r in rows.select("id").orderBy("id").limit(2 * k + 1).collect()]
+    free = F.filter(F.array(*[F.lit(i) for i in small]), lambda i: (i != F.col("id")) & ~F.coalesce(F.array_contains("nbrs", i), F.lit(False)))
+    filled = short.select("id", F.coalesce("have", F.lit(0)).alias("have"), F.posexplode(free).alias("i", "nbr")).where(F.col("i") < k - F.col("have"))
+    return met.unionByName(filled.select("id", (F.col("have") + F.col("i") + 1).cast("bigint").alias("rank"), "nbr", F.lit(0.0).alias("sim")))
 
 
 # ---------------------------------------------------------------- sums over all pairs

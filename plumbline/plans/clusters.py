@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import geometry as Y
 from plumbline.operators import graph as GR
+from plumbline.operators.similarity import knn_sets
+from plumbline.operators.vectors import knn_vectors
 from plumbline.plans import fixtures as X
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
@@ -105,10 +107,26 @@ def c5(spark, sf):
     return Y.knn_preservation(v, projected, "vec_id", "embedding", 15)
 
 
+@query("c5_sets_against_vectors", "WITH" + X.TOK_SQL + """,
+bo AS (SELECT doc_id AS id, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+ps AS (SELECT a.id, b.id AS nbr, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id <> b.id WHERE a.id IN (SELECT id FROM bo) AND b.id IN (SELECT id FROM bo) GROUP BY ALL),
+pr AS (SELECT a.id, b.id AS nbr, round(list_distance(a.e, b.e), 9) AS d, coalesce(c / (x.n + y.n - c), 0) AS s
+       FROM bo a JOIN bo b ON a.id <> b.id LEFT JOIN ps ON ps.id = a.id AND ps.nbr = b.id LEFT JOIN sz x ON x.id = a.id LEFT JOIN sz y ON y.id = b.id),
+rk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY s DESC, nbr) AS rs, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS rd FROM pr)
+SELECT count(DISTINCT id) AS n, count(*) FILTER (rs <= 15 AND rd <= 15) AS kept, round(count(*) FILTER (rs <= 15 AND rd <= 15) / (15 * count(DISTINCT id)), 6) AS preservation FROM rk""")
+def c5s(spark, sf):
+    """Neighbours by token sets (Jaccard) that are neighbours by embedding (Euclidean): documents and vectors mapped by id."""
+    v = S.table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    ids = S.table(spark, sf, "documents").join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("a_id"), F.col("vec_id").alias("b_id"))
+    sets = X.sets(spark, sf).join(ids.select(F.col("a_id").alias("id")), "id")
+    vectors = v.join(ids.select(F.col("b_id").alias("vec_id")), "vec_id")
+    return Y.neighbours_kept(knn_sets(sets, "id", "els", 15), knn_vectors(vectors, "vec_id", "embedding", 15), 15, ids)
+
+
 @query("c6_landscape", "WITH" + X.TOK_SQL + "," + X.ENT_SQL + """,
 ps AS (SELECT a.id, b.id AS nbr, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id <> b.id GROUP BY ALL),
-knn AS (SELECT ps.id, nbr FROM ps JOIN sz x ON x.id = ps.id JOIN sz y ON y.id = nbr
-        QUALIFY row_number() OVER (PARTITION BY ps.id ORDER BY c / (x.n + y.n - c) DESC, nbr) <= 5),
+knn AS (SELECT a.id, b.id AS nbr FROM ent a JOIN ent b ON a.id <> b.id LEFT JOIN ps ON ps.id = a.id AND ps.nbr = b.id LEFT JOIN sz x ON x.id = a.id LEFT JOIN sz y ON y.id = b.id
+        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY coalesce(c / (x.n + y.n - c), 0) DESC, b.id) <= 5),
 near AS (SELECT knn.id, avg(abs(b.y - a.y)) AS gap FROM knn JOIN ent a ON a.id = knn.id JOIN ent b ON b.id = nbr GROUP BY ALL),
 pos AS (SELECT id, y, row_number() OVER (ORDER BY id) - 1 AS pos FROM ent),
 rnd AS (SELECT a.id, avg(abs(b.y - a.y)) AS gap FROM pos a, range(5) t(slot) JOIN pos b

@@ -3,12 +3,13 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import inference as I
 from plumbline.operators import metrics as M
+from plumbline.operators import poisson as Q
 from plumbline.operators import selection as L
 from plumbline.plans import fixtures as X
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
-B_ROWS, B_CLUSTERS, SEED = 200, 2000, 20260930
+B_ROWS, B_CLUSTERS, SEED = 2000, 2000, 20260930
 
 
 def _draw(*parts: str) -> str:
@@ -26,6 +27,17 @@ def weights_sql(name: str, units: str, unit: str, b: int, key: str | None = None
 {name} AS (SELECT {k}b, {unit}, w FROM {name}_d JOIN {name}_u USING ({using}))"""
 
 
+def poisson_sql(name: str, units: str, unit: str, b: int, key: str | None = None) -> str:
+    """SQL of the Poisson weights of the units (one row each) of an optional key, zero weights left out."""
+    k, kj = (f"{key}, ", f"{key} || ':' || ") if key else ("", "")
+    h = ", ".join(f"('0x' || substr(m, {8 * i + 1}, 8))::BIGINT % {Q.PRIME} AS h{i}" for i in range(3))
+    w = " + ".join(f"(u >= {t})::INT" for t in Q.BOUNDS)
+    return f"""
+{name}_u AS (SELECT {k}{unit}, {h} FROM (SELECT DISTINCT {k}{unit}, md5('{SEED}:' || {kj}{unit}) AS m FROM {units})),
+{name}_d AS (SELECT {k}{unit}, b, (h2 + b * ((h1 + b * h0 % {Q.PRIME}) % {Q.PRIME})) % {Q.PRIME} AS u FROM {name}_u, range({b}) t(b)),
+{name} AS (SELECT {k}b, {unit}, ({w})::BIGINT AS w FROM {name}_d WHERE u >= {Q.BOUNDS[0]})"""
+
+
 @query("i19_hashed_draws", "SELECT b, slot, ('0x' || substr(md5('7:' || b || ':' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM documents) AS pos FROM range(20) t1(b), (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS slot)")
 def i19(spark, sf):
     return I.hashed_draws(spark, S.table(spark, sf, "documents").count(), 20, 7)
@@ -42,7 +54,7 @@ def scores_sql(name: str, w: str, unit: str, using: str) -> str:
 {name} AS (SELECT design, model, b, CASE WHEN syy - sy * sy / n > 1e-12 THEN 1 - see / (syy - sy * sy / n) END AS r2, sqrt(see / n) AS rmse, sae / n AS mae FROM {name}_t)"""
 
 
-ROWS_SQL = HELD_SQL + ", held_x AS (SELECT * FROM held)," + weights_sql("wr", "held", "id", B_ROWS, "design") + "," + scores_sql("br", "wr", "id", "design, id")
+ROWS_SQL = HELD_SQL + ", held_x AS (SELECT * FROM held)," + poisson_sql("wr", "held", "id", B_ROWS, "design") + "," + scores_sql("br", "wr", "id", "design, id")
 CLUS_SQL = HELD_SQL + ", held_x AS (SELECT held.*, ent.grp FROM held JOIN ent USING (id))," + weights_sql("wc", "held_x", "grp", B_CLUSTERS, "design") + "," + scores_sql("bc", "wc", "grp", "design, grp")
 CI = ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_{e}" for m in ("r2", "rmse", "mae") for q, e in ((0.025, "lo"), (0.975, "hi")))
 # The pairs of models that are compared.
@@ -56,7 +68,7 @@ def contrast_pairs(spark):
 
 @X.shared
 def row_scores(spark, sf):
-    return I.bootstrap_scores(X.held_out(spark, sf), ["design"], B_ROWS, SEED)
+    return Q.poisson_scores(X.held_out(spark, sf), ["design"], B_ROWS, SEED)
 
 
 def _held_groups(spark, sf):
@@ -88,7 +100,7 @@ def i4(spark, sf):
     return j.groupBy("model").agg(*I._ci("mean_r2", "mean_r2"))
 
 
-RANK_SQL = X.WITH_SLICE + ", held AS (SELECT 'slice' AS k, id, y, pred, y >= (SELECT quantile_cont(y, 0.9) FROM ent) AS act FROM slice WHERE role = 'test')," + weights_sql("wk", "held", "id", B_ROWS) + """,
+RANK_SQL = X.WITH_SLICE + ", held AS (SELECT 'slice' AS k, id, y, pred, y >= (SELECT quantile_cont(y, 0.9) FROM ent) AS act FROM slice WHERE role = 'test')," + poisson_sql("wk", "held", "id", B_ROWS) + """,
 rw AS (SELECT b, id, y, pred, act, w FROM wk JOIN held USING (id)),
 rx AS (SELECT *, (SELECT 1) AS one, sum(w) OVER (PARTITION BY b ORDER BY y RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY b, y) - 1) / 2.0 AS ry,
   sum(w) OVER (PARTITION BY b ORDER BY pred RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY b, pred) - 1) / 2.0 AS rp,
@@ -102,7 +114,7 @@ rs AS (SELECT b, sum(w * (ry - my) * (rp - mp)) / sqrt(sum(w * (ry - my) * (ry -
 @query("i5_bootstrap_rank", RANK_SQL + " SELECT b, round(spearman, 6)::DOUBLE AS spearman, round(hit_rate, 6)::DOUBLE AS hit_rate, round(ef, 6)::DOUBLE AS ef FROM rs")
 def i5(spark, sf):
     h = X.slice_scores(spark, sf).where("role = 'test'").withColumn("act", F.col("y") >= X.threshold(spark, sf))
-    return I.bootstrap_rank(X.settle(h), [], B_ROWS, SEED, "act", 0.1)
+    return Q.bootstrap_rank(X.settle(h), [], B_ROWS, SEED, "act", 0.1)
 
 
 @query("i6_spearman_pearson", X.WITH_PREDS + """,

@@ -119,7 +119,8 @@ def j9(spark, sf):
 
 KNN_SQL = "WITH" + X.TOK_SQL + """,
 ps AS (SELECT a.id, b.id AS nbr, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id <> b.id GROUP BY ALL),
-sm AS (SELECT ps.id, nbr, c / (x.n + y.n - c) AS sim FROM ps JOIN sz x ON x.id = ps.id JOIN sz y ON y.id = nbr),
+dd AS (SELECT doc_id AS id FROM documents),
+sm AS (SELECT a.id, b.id AS nbr, coalesce(c / (x.n + y.n - c), 0) AS sim FROM dd a JOIN dd b ON a.id <> b.id LEFT JOIN ps ON ps.id = a.id AND ps.nbr = b.id LEFT JOIN sz x ON x.id = a.id LEFT JOIN sz y ON y.id = b.id),
 knn AS (SELECT id, nbr, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank FROM sm QUALIFY rank <= 5)"""
 
 

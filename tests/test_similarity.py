@@ -60,8 +60,24 @@ def test_self_nn_and_knn(table):
         order = sorted((-tan(sets[i], sets[j]), j) for j in range(120) if j != i)
         assert got[i]["nn_sim"] == pytest.approx(-order[0][0])
         assert got[i]["nn_id"] == (order[0][1] if order[0][0] < 0 else None)
-        exp = {k + 1: j for k, (s, j) in enumerate(order[:4]) if s < 0}
-        assert knn.get(i, {}) == exp
+        assert knn[i] == {k + 1: j for k, (_, j) in enumerate(order[:4])}
+
+
+def test_knn_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [5]), (2, [5]), (3, []), (9, [6])], "id bigint, els array<bigint>")
+    got = {(r.id, r["rank"]): (r.nbr, r.sim) for r in J.knn_sets(df, "id", "els", 5).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (3, 0.0), (1, 3): (9, 0.0), (2, 1): (1, 1.0), (2, 2): (3, 0.0), (2, 3): (9, 0.0),
+                   (3, 1): (1, 0.0), (3, 2): (2, 0.0), (3, 3): (9, 0.0), (9, 1): (1, 0.0), (9, 2): (2, 0.0), (9, 3): (3, 0.0)}
+
+
+def test_neighbours_kept(spark):
+    from plumbline.operators.geometry import neighbours_kept
+
+    a = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1)], "id long, rank long, nbr long")
+    b = spark.createDataFrame([(11, 1, 13), (11, 2, 14), (12, 1, 11), (12, 2, 13), (13, 1, 12)], "id long, rank long, nbr long")
+    ids = spark.createDataFrame([(i, i + 10) for i in range(1, 4)], "a_id long, b_id long")
+    assert tuple(neighbours_kept(a, b, 2, ids).first()) == (3, 3, 0.5)
+    assert tuple(neighbours_kept(a, b, 1, ids).first()) == (3, 1, pytest.approx(1 / 3))
 
 
 def test_threshold_join(table):
