@@ -179,7 +179,7 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), alternativ
     stat = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     return s.select(
         *keys, "n", "w_plus", "w_minus", stat.alias("statistic"), z.alias("z"),
-        P.p_wilcoxon(alternative)("w_plus", "n", "ties").alias("p"),
+        P.p_wilcoxon("w_plus", "n", "ties", alternative).alias("p"),
     )
 
 
@@ -203,7 +203,7 @@ def mann_whitney(df: DataFrame, x: str, side: str, first: str, keys: Sequence[st
     s = s.withColumn("u", F.col("ra") - na * (na + 1) / 2)
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(F.col("u") - na * nb / 2 + 0.5, sd)
-    return s.select(*keys, "n_a", "n_b", "u", z.alias("z"), P.p_normal_lower()(z).alias("p_less"))
+    return s.select(*keys, "n_a", "n_b", "u", z.alias("z"), P.p_normal_lower(z).alias("p_less"))
 
 
 def seen_unseen_test(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -239,7 +239,7 @@ def ks_2samp(df: DataFrame, x: str, side: str, first: str, keys: Sequence[str] =
     cum = with_totals(running_totals(vc, keys, ["v"], {"a": "ca", "b": "cb"}), tot, keys)
     gap = F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))
     s = cum.groupBy(*keys).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(gap).alias("d"))
-    return s.withColumn("p", P.p_ks()("d", "n_a", "n_b"))
+    return s.withColumn("p", P.p_ks("d", "n_a", "n_b"))
 
 
 def anova(df: DataFrame, y: str, cat: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -256,7 +256,7 @@ def anova(df: DataFrame, y: str, cat: str, keys: Sequence[str] = ()) -> DataFram
     f = F.try_divide(F.col("ssb") * (F.col("n") - F.col("k")), F.col("ssw") * (F.col("k") - 1))
     return s.select(
         *keys, "k", "n", f.alias("f"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"),
-        P.p_f()(f, F.col("k") - 1, F.col("n") - F.col("k")).alias("p"),
+        P.p_f(f, F.col("k") - 1, F.col("n") - F.col("k")).alias("p"),
     )
 
 
@@ -274,16 +274,16 @@ def sign_test(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFr
         F.count("*").alias("n"), (100.0 * F.avg(agree.cast("int"))).alias("sign_agreement_pct"),
         F.count_if(F.col(a) != 0).alias("n_tested"), F.count_if(agree & (F.col(a) != 0)).alias("n_agree"),
     )
-    return s.withColumn("p_greater", P.p_binom_greater()("n_agree", "n_tested"))
+    return s.withColumn("p_greater", P.p_binom_greater("n_agree", "n_tested"))
 
 
 def t_interval(df: DataFrame, d: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n, mean, sd, t, p, lo, hi): one-sample t test against 0 and the 95% interval."""
     s = df.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
     se = F.col("sd") / F.sqrt("n")
-    half = P.t_quantile(0.975)(F.col("n") - 1) * se
+    half = P.t_quantile(F.col("n") - 1, 0.975) * se
     t = F.try_divide(F.col("mean"), se)
-    return s.withColumn("t", t).withColumn("p", P.p_t_two_sided()("t", F.col("n") - 1)).withColumn(
+    return s.withColumn("t", t).withColumn("p", P.p_t_two_sided("t", F.col("n") - 1)).withColumn(
         "lo", F.col("mean") - half
     ).withColumn("hi", F.col("mean") + half)
 
@@ -316,7 +316,7 @@ def friedman(df: DataFrame, block: str, treat: str, score: str, keys: Sequence[s
     raw = 12.0 / (n * k * (k + 1)) * F.col("rss") - 3 * n * (k + 1)
     chi2 = F.try_divide(raw, 1 - F.try_divide(F.col("ties"), n * (k * k * k - k)))
     return s.select(
-        *keys, "n", "k", chi2.alias("chi2"), P.p_chi2()(chi2, k - 1).alias("p"),
+        *keys, "n", "k", chi2.alias("chi2"), P.p_chi2(chi2, k - 1).alias("p"),
         F.try_divide(12 * F.col("s"), n * n * (k * k * k - k)).alias("kendall_w"),
     )
 

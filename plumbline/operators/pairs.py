@@ -86,7 +86,7 @@ def pair_stats(deltas: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ]
     for p in parts:
         base = with_totals(base, p, keys)
-    return base.withColumn("spearman_p", P.p_correlation()("spearman", "n_pairs"))
+    return base.withColumn("spearman_p", P.p_correlation("spearman", "n_pairs"))
 
 
 def pair_protocols(pairs: DataFrame, values: dict[str, DataFrame], least: int = 8) -> DataFrame:
@@ -147,7 +147,7 @@ def enrichment(
         F.when(has, 100.0 * F.col("hits") / F.col("k")).alias("hit_rate_pct"),
         F.when(has, F.col("hits") / F.col("k") / base).alias("ef"),
         F.when(has, F.least(F.lit(1.0), F.col("n_act") / F.col("k")) / base).alias("ef_max"),
-        P.p_hypergeom()("hits", "n", "n_act", "k").alias("p"),
+        P.p_hypergeom("hits", "n", "n_act", "k").alias("p"),
     )
 
 

@@ -182,7 +182,7 @@ def paired_over_partitions(df: DataFrame, pairs: DataFrame, part: str, keys: Seq
     wins = d.groupBy(*by).agg(
         F.count_if(F.col("d") > 0).alias("n_a_better"), F.count_if(F.col("d") != 0).alias("n_nonzero"),
         F.min("d").alias("min_delta"), F.max("d").alias("max_delta"),
-    ).withColumn("p_sign", P.p_binom_two_sided()("n_a_better", "n_nonzero"))
+    ).withColumn("p_sign", P.p_binom_two_sided("n_a_better", "n_nonzero"))
     t = t_interval(d, "d", by).select(
         *by, F.col("n").alias("n_parts"), F.col("mean").alias("mean_delta"), F.col("sd").alias("sd_delta"), "lo", "hi"
     )

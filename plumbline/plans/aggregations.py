@@ -5,6 +5,7 @@ from plumbline.operators import audit as A
 from plumbline.operators import inference as I
 from plumbline.operators import metrics as M
 from plumbline.plans import fixtures as X
+from plumbline.plans import tails
 from plumbline.plans.registry import query
 from plumbline.plans.scalars import BIN_CASE, KEYS_SQL
 from plumbline.sources import tables as S
@@ -70,9 +71,10 @@ def a6b(spark, sf):
 @query("a7_anova", """
 WITH g AS (SELECT l_returnflag AS c, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1),
 s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * power(m - (SELECT avg(l_extendedprice) FROM lineitem), 2)) AS ssb, sum(n * v) AS ssw FROM g)
-SELECT k, n::BIGINT AS n, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f, round(ssb / (ssb + ssw), 6) AS eta2 FROM s""")
+SELECT k, n::BIGINT AS n, round(f, 6) AS f, round(eta2, 6) AS eta2, round(""" + tails.f_upper("f", "(k - 1)", "(n - k)") + """, 6) AS p
+FROM (SELECT k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM s)""")
 def a7(spark, sf):
-    return I.anova(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag").drop("p")
+    return I.anova(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
 
 
 @query("a8_regression_metrics", X.WITH_PREDS + f" SELECT part, model, role, count(*) AS n, round({X.R2}, 6) AS r2, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(avg(abs(y - pred)), 6) AS mae FROM preds GROUP BY ALL")

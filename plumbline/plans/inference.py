@@ -6,6 +6,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators import poisson as Q
 from plumbline.operators import selection as L
 from plumbline.plans import fixtures as X
+from plumbline.plans import tails
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
@@ -141,7 +142,22 @@ def i7(spark, sf):
     return I.wilcoxon(p, "err_a", "err_b", ["design", "model_a", "model_b"]).drop("p")
 
 
-@query("i7_wilcoxon_p")
+#: Ways to reach each sum of signed ranks of n untied differences, n up to the size that is counted exactly.
+SIGNED_SQL = """sr(n, ways) AS (SELECT 0, [1.0::DOUBLE] UNION ALL
+  SELECT n + 1, [coalesce(CASE WHEN s < len(ways) THEN ways[s + 1] END, 0) + coalesce(CASE WHEN s >= n + 1 THEN ways[s - n] END, 0) for s in range(0, (n + 1) * (n + 2) // 2 + 1)] FROM sr WHERE n < 50)"""
+
+
+def wilcoxon_p_sql(w: str) -> str:
+    """Two-sided p from columns n, ties (sum of t * t - 1), w_plus and the ways of n (null beyond the exact sizes)."""
+    z = f"(({w} - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48))"
+    exact = f"2 * least(list_sum(ways[ceil({w})::BIGINT + 1:]), list_sum(ways[ceil(n * (n + 1) / 2 - {w})::BIGINT + 1:])) / power(2.0, n)"
+    return f"least(1.0, CASE WHEN n <= 50 AND ties = 0 THEN {exact} ELSE 2 * {tails.normal_upper(f'abs({z})')} END)"
+
+
+@query("i7_wilcoxon_p", WILCOXON_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", " + SIGNED_SQL + """
+SELECT design, model_a, model_b, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS statistic,
+  round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6)::DOUBLE AS z, round(""" + wilcoxon_p_sql("w_plus") + """, 6)::DOUBLE AS p
+FROM ws LEFT JOIN sr USING (n)""")
 def i7p(spark, sf):
     p = L.paired_errors(X.held_out(spark, sf), contrast_pairs(spark), ["design"])
     return I.wilcoxon(p, "err_a", "err_b", ["design", "model_a", "model_b"])
@@ -160,34 +176,38 @@ def _seen(spark, sf):
 
 
 @query("i8_seen_unseen_test", SEEN_SQL + """
-SELECT model, n_a, n_b, (ra - n_a * (n_a + 1) / 2)::DOUBLE AS u, round((ra - n_a * (n_a + 1) / 2 - n_a * n_b / 2 + 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))), 6)::DOUBLE AS z,
-  round(rmse_seen, 6) AS rmse_seen, round(rmse_unseen, 6) AS rmse_unseen, round(rmse_unseen / rmse_seen, 6) AS rmse_ratio, round(median_seen, 6) AS median_seen, round(median_unseen, 6) AS median_unseen FROM ss""")
+SELECT model, n_a, n_b, u, round(z, 6)::DOUBLE AS z, round(rmse_seen, 6) AS rmse_seen, round(rmse_unseen, 6) AS rmse_unseen, round(rmse_unseen / rmse_seen, 6) AS rmse_ratio, round(median_seen, 6) AS median_seen,
+  round(median_unseen, 6) AS median_unseen, round(""" + tails.normal_upper("(-z)") + """, 6)::DOUBLE AS p_less
+FROM (SELECT *, (ra - n_a * (n_a + 1) / 2)::DOUBLE AS u, (ra - n_a * (n_a + 1) / 2 - n_a * n_b / 2 + 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z FROM ss)""")
 def i8(spark, sf):
-    return I.seen_unseen_test(_seen(spark, sf), ["model"]).drop("p_less")
+    return I.seen_unseen_test(_seen(spark, sf), ["model"])
 
 
 @query("i9_ks_2samp", """
 WITH v AS (SELECT l_returnflag AS g, l_extendedprice AS x, count(*) FILTER (l_linestatus = 'O') AS a, count(*) FILTER (l_linestatus <> 'O') AS b FROM lineitem GROUP BY ALL),
 c AS (SELECT g, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY g) AS n_a, sum(b) OVER (PARTITION BY g) AS n_b FROM v WINDOW w AS (PARTITION BY g ORDER BY x))
-SELECT g AS l_returnflag, any_value(n_a)::BIGINT AS n_a, any_value(n_b)::BIGINT AS n_b, round(max(abs(ca / n_a - cb / n_b)), 6) AS d FROM c GROUP BY g""")
+SELECT l_returnflag, n_a, n_b, round(d, 6) AS d, round(""" + tails.ks_upper("d", "n_a", "n_b") + """, 6)::DOUBLE AS p FROM (
+  SELECT g AS l_returnflag, any_value(n_a)::BIGINT AS n_a, any_value(n_b)::BIGINT AS n_b, max(abs(ca / n_a - cb / n_b)) AS d FROM c GROUP BY g)""")
 def i9(spark, sf):
-    return I.ks_2samp(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus", "O", ["l_returnflag"]).drop("p")
+    return I.ks_2samp(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus", "O", ["l_returnflag"])
 
 
 @query("i10_levene", """
 WITH m AS (SELECT l_linestatus, median(l_extendedprice) AS med FROM lineitem GROUP BY 1), d AS (SELECT l_linestatus, abs(l_extendedprice - med) AS dev FROM lineitem JOIN m USING (l_linestatus)),
 g AS (SELECT count(*) AS n, avg(dev) AS a, var_pop(dev) AS v FROM d GROUP BY l_linestatus),
 s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * power(a - (SELECT avg(dev) FROM d), 2)) AS ssb, sum(n * v) AS ssw FROM g)
-SELECT k, n::BIGINT AS n, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f, round(ssb / (ssb + ssw), 6) AS eta2 FROM s""")
+SELECT k, n::BIGINT AS n, round(f, 6) AS f, round(eta2, 6) AS eta2, round(""" + tails.f_upper("f", "(k - 1)", "(n - k)") + """, 6) AS p
+FROM (SELECT k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM s)""")
 def i10(spark, sf):
-    return I.levene(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus").drop("p")
+    return I.levene(S.table(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus")
 
 
 @query("i11_sign_test", """WITH d AS (SELECT s_nationkey % 5 AS r, s_acctbal - 5000 AS a, (s_suppkey % 7) - 3 AS b FROM supplier)
-SELECT r::BIGINT AS r, count(*) AS n, round(100.0 * avg((sign(a) = sign(b))::INT), 6) AS sign_agreement_pct, count(*) FILTER (a <> 0) AS n_tested, count(*) FILTER (sign(a) = sign(b) AND a <> 0) AS n_agree FROM d GROUP BY r""")
+SELECT *, round(""" + tails.binom_upper("n_agree", "n_tested") + """, 6)::DOUBLE AS p_greater FROM (
+  SELECT r::BIGINT AS r, count(*) AS n, round(100.0 * avg((sign(a) = sign(b))::INT), 6) AS sign_agreement_pct, count(*) FILTER (a <> 0) AS n_tested, count(*) FILTER (sign(a) = sign(b) AND a <> 0) AS n_agree FROM d GROUP BY r)""")
 def i11(spark, sf):
     d = S.table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).alias("r"), (F.col("s_acctbal") - 5000).alias("a"), (F.col("s_suppkey") % 7 - 3).cast("double").alias("b"))
-    return I.sign_test(d, "a", "b", ["r"]).drop("p_greater")
+    return I.sign_test(d, "a", "b", ["r"])
 
 
 @query("i12_t_interval", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice - 250000), 4) AS mean, round(stddev_samp(o_totalprice - 250000), 4) AS sd, round(avg(o_totalprice - 250000) / (stddev_samp(o_totalprice) / sqrt(count(*))), 5) AS t FROM orders GROUP BY 1")
@@ -201,13 +221,19 @@ def i12(spark, sf):
 r AS (SELECT design, part, key, rank() OVER (PARTITION BY part ORDER BY test_r2) + (count(*) OVER (PARTITION BY part, test_r2) - 1) / 2.0 AS mid,
   row_number() OVER (PARTITION BY part ORDER BY test_r2 DESC, key) AS o, count(*) OVER (PARTITION BY part, test_r2) AS t FROM cells),
 s AS (SELECT design, key, sum(mid) AS rs, sum(o) AS os FROM r GROUP BY ALL), ti AS (SELECT design, sum(t * t - 1) AS ties, count(DISTINCT part) AS n, count(DISTINCT key) AS k FROM r GROUP BY design)
-SELECT design, any_value(n) AS n, any_value(k) AS k, round((12.0 / (any_value(n) * any_value(k) * (any_value(k) + 1)) * sum(rs * rs) - 3 * any_value(n) * (any_value(k) + 1)) / (1 - any_value(ties) / (any_value(n) * (any_value(k)^3 - any_value(k)))), 6)::DOUBLE AS chi2,
-  round(12 * sum(power(os - n * (k + 1) / 2.0, 2)) / (any_value(n)^2 * (any_value(k)^3 - any_value(k))), 6)::DOUBLE AS kendall_w FROM s JOIN ti USING (design) GROUP BY design""")
+SELECT *, round(""" + tails.chi2_upper("chi2", "(k - 1)") + """, 6) AS p FROM (SELECT design, any_value(n) AS n, any_value(k) AS k, round((12.0 / (any_value(n) * any_value(k) * (any_value(k) + 1)) * sum(rs * rs) - 3 * any_value(n) * (any_value(k) + 1)) / (1 - any_value(ties) / (any_value(n) * (any_value(k)^3 - any_value(k)))), 6)::DOUBLE AS chi2,
+  round(12 * sum(power(os - n * (k + 1) / 2.0, 2)) / (any_value(n)^2 * (any_value(k)^3 - any_value(k))), 6)::DOUBLE AS kendall_w FROM s JOIN ti USING (design) GROUP BY design)""")
 def i13(spark, sf):
-    return I.friedman(X.cells(spark, sf), "part", "key", "test_r2", ["design"]).drop("p")
+    return I.friedman(X.cells(spark, sf), "part", "key", "test_r2", ["design"])
+
+
+def _i14_sql() -> str:
+    from plumbline.plans.pairs import ENR_SQL
+
+    return ENR_SQL + " SELECT design, part, frac, n, n_act, k, hits, round(" + tails.hypergeom_upper("hits", "n", "n_act", "k") + ", 6)::DOUBLE AS p FROM ef"
 
 
-@query("i14_hypergeometric")
+@query("i14_hypergeometric", _i14_sql())
 def i14(spark, sf):
     from plumbline.plans.pairs import fold_enrichment
 

@@ -6,6 +6,7 @@ from plumbline.operators import attribution as T
 from plumbline.operators import pairs as P
 from plumbline.operators.graph import pair_kind
 from plumbline.plans import fixtures as X
+from plumbline.plans import tails
 from plumbline.plans.clusters import COMP_SQL, PAIRS_SQL, part_components, part_pairs
 from plumbline.plans.joins import SPANS_SQL, part_folds
 from plumbline.plans.registry import query
@@ -92,9 +93,9 @@ def fold_enrichment(spark, sf):
     return P.enrichment(X.settle(p), keys=["design", "part", "model"])
 
 
-@query("r4_enrichment", ENR_SQL + " SELECT design, part, model, frac, n, n_act, k, hits, round(hit_rate_pct, 6)::DOUBLE AS hit_rate_pct, round(e, 6)::DOUBLE AS ef, round(ef_max, 6)::DOUBLE AS ef_max FROM ef")
+@query("r4_enrichment", ENR_SQL + " SELECT design, part, model, frac, n, n_act, k, hits, round(hit_rate_pct, 6)::DOUBLE AS hit_rate_pct, round(e, 6)::DOUBLE AS ef, round(ef_max, 6)::DOUBLE AS ef_max, round(" + tails.hypergeom_upper("hits", "n", "n_act", "k") + ", 6)::DOUBLE AS p FROM ef")
 def r4(spark, sf):
-    return fold_enrichment(spark, sf).drop("p")
+    return fold_enrichment(spark, sf)
 
 
 @query("r5_enrichment_repeated", ENR_SQL + """ SELECT design, model, frac, count(*) AS n_folds, round(avg(e), 6) AS ef_mean, round(stddev_samp(e), 6) AS ef_sd, round(min(e), 6)::DOUBLE AS ef_min, round(max(e), 6)::DOUBLE AS ef_max_fold,
