@@ -5,6 +5,7 @@ from plumbline.operators import splits as G
 from plumbline.operators.selection import union_parts
 from plumbline.operators.ranking import distinct_ordered
 from plumbline.plans import fixtures as X
+from plumbline.plans.clusters import BUTINA_SQL, clusters
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
@@ -58,10 +59,12 @@ def g3(spark, sf):
     return G.group_disjoint_split(X.entities(spark, sf), "id", "grp", X.PRIMARY_SEED)
 
 
-@query("g3_cluster_disjoint_split")
+@query("g3_cluster_disjoint_split", BUTINA_SQL + """,
+ce AS (SELECT home.id, od.id AS cluster FROM home JOIN od ON od.k = h),
+gs AS (SELECT cluster, count(*) AS n FROM ce GROUP BY cluster),
+gc AS (SELECT cluster, n, sum(n) OVER (ORDER BY n, md5('42:' || cluster), cluster ROWS UNBOUNDED PRECEDING) AS upto FROM gs)
+SELECT id, CASE WHEN upto <= round_even((SELECT count(*) FROM ce) * 0.1, 0) OR upto = n THEN 'test' ELSE 'train' END AS role FROM ce JOIN gc USING (cluster)""")
 def g3c(spark, sf):
-    from plumbline.plans.clusters import clusters
-
     return G.group_disjoint_split(clusters(spark, sf), "id", "cluster", X.PRIMARY_SEED)
 
 
