@@ -210,11 +210,12 @@ def i11(spark, sf):
     return I.sign_test(d, "a", "b", ["r"])
 
 
-@query("i12_t_interval", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice - 250000), 4) AS mean, round(stddev_samp(o_totalprice - 250000), 4) AS sd, round(avg(o_totalprice - 250000) / (stddev_samp(o_totalprice) / sqrt(count(*))), 5) AS t FROM orders GROUP BY 1")
+@query("i12_t_interval", """SELECT o_orderpriority, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(t, 5) AS t, round(""" + tails.t_two_sided("t", "(n - 1)") + """, 6) AS p
+FROM (SELECT *, mean / (sd / sqrt(n)) AS t FROM (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice - 250000) AS mean, stddev_samp(o_totalprice - 250000) AS sd FROM orders GROUP BY 1))""")
 def i12(spark, sf):
     o = S.table(spark, sf, "orders").withColumn("d", F.col("o_totalprice") - 250000)
     t = I.t_interval(o, "d", ["o_orderpriority"])
-    return t.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round("t", 5).alias("t"))
+    return t.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round("t", 5).alias("t"), "p")
 
 
 @query("i13_friedman_kendall", X.WITH_CELLS + """,
