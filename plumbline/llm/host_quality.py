@@ -2,7 +2,8 @@
 
 Rules are counted in each document; failures of the soft rules are summed by host (the source), the hosts'
 failure rates are shrunk towards a beta prior fitted to all hosts by moments, and the verdicts go back to the
-documents: on a bad host a document must pass the soft rules too, elsewhere only the base rules. A single
+documents: on a bad host a document must pass the soft rules too, elsewhere only the base rules. A host is bad
+if its posterior mean lies more than ``BAD_SPREADS`` posterior standard deviations above the prior's mean. A single
 failing document on a small host hardly moves its rate, and a document that passes every rule is always kept.
 """
 from __future__ import annotations
@@ -14,7 +15,7 @@ from plumbline.llm.util import SPACE, WORD, lookup, salt, stored, whole_text
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 MAX_SYMBOL_PCT, MAX_DUP_LINE_PCT, MIN_MEAN_CHARS, MAX_MEAN_CHARS = 10, 30, 3, 12
-BAD_RATE = 0.5
+BAD_SPREADS = 1.0
 BROADCAST_HOSTS = 100_000  # verdicts that are broadcast; more are joined by salted keys
 
 
@@ -79,19 +80,21 @@ def host_rates(rows: DataFrame, host: str) -> DataFrame:
     prior = sums.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var")).select(
         "mean", F.when(F.col("var") > 0, F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1, F.lit(2.0)), F.lit(1000.0))).otherwise(2.0).alias("strength"))
     mean, strength = (prior.select(c).scalar() for c in ("mean", "strength"))
-    return sums.select("_host", ((F.col("failed") + mean * strength) / (F.col("n") + strength) >= BAD_RATE).alias("bad_host"))
+    weight = F.col("n") + strength
+    rate = (F.col("failed") + mean * strength) / weight
+    return sums.select("_host", (rate - mean > BAD_SPREADS * F.sqrt(rate * (1 - rate) / (weight + 1))).alias("bad_host"))
 
 
 def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text", carry_text: bool = True) -> DataFrame:
-    """All columns of ``docs`` (without the text unless ``carry_text``) with the counts, base_failed, soft_failed, bad_host and kept.
+    """All columns of ``docs`` (without the text unless ``carry_text``) with the counts, base_failed, soft_failed, bad_host, host_decided and kept.
 
     The rules are counted once: the counted rows are stored, and both the hosts' rates and the verdicts read them.
 
-    kept: not base_failed, and not (soft_failed on a bad host). A null text has no words and fails; a null
+    kept: not base_failed, and not (soft_failed on a bad host); host_decided: the host alone turned the verdict. A null text has no words and fails; a null
     host is a host of its own; repeated rows count as often as they come; an empty table gives an empty
     table. Columns with the names of the results are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "bad_host", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "bad_host", "host_decided", "kept"]
     rows = features(docs.drop(*[c for c in made if c in docs.columns]), text)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     rows = rows.withColumn("base_failed", base).withColumn("soft_failed", F.col("base_failed") | _soft()).drop("_lines")
@@ -103,7 +106,8 @@ def judged(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: s
         out = rows.join(F.broadcast(hosts), "_key")
     else:
         out = lookup(rows, hosts, ["_key"], salt(ident, "n_words", "word_chars"))
-    return out.drop("_key").withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("bad_host")))
+    out = out.drop("_key").withColumn("host_decided", ~F.col("base_failed") & F.col("soft_failed") & F.col("bad_host"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_decided"))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
@@ -129,8 +133,9 @@ h AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_
 s AS (SELECT source, count(*) AS n, count_if(soft_failed) AS failed FROM h GROUP BY source),
 p AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM s),
 q AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 2.0 END AS k FROM p),
-b AS (SELECT source, (failed + m * k) / (n + k) >= 0.5 AS bad_host FROM s, q)
+r AS (SELECT source, m, n + k AS w, (failed + m * k) / (n + k) AS r FROM s, q),
+b AS (SELECT source, r - m > sqrt(r * (1 - r) / (w + 1)) AS bad_host FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, bad_host,
-       NOT base_failed AND NOT (soft_failed AND bad_host) AS kept
+       NOT base_failed AND soft_failed AND bad_host AS host_decided, NOT base_failed AND NOT (soft_failed AND bad_host) AS kept
 FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source
 """
