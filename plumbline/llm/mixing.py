@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.core import running_total
 from plumbline.llm.util import WORD, whole_text
 
 BLOCKS, MAX_SOURCES, UNIT = 512, 4096, 1 << 40
@@ -127,8 +128,8 @@ def _cuts(keyed: DataFrame, source: str, wanted: dict) -> dict:
     need = spark.createDataFrame(rows, T.StructType([T.StructField("_s", T.StringType()), T.StructField("_b", T.IntegerType()), T.StructField("_need", T.DoubleType())]))
     part = keyed.select(F.col(source).alias("_s0"), "_block", "_order", "_size").groupBy("_s0", "_block", "_order").agg(F.sum("_size").alias("_size"))
     part = part.join(F.broadcast(need), part._s0.eqNullSafe(need._s) & (part._block == need._b))
-    upto = F.sum("_size").over(Window.partitionBy("_s").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
-    near = part.withColumn("_off", upto - F.col("_need")).groupBy("_s").agg(
+    upto = running_total(part.select("_s", "_order", "_size", "_need"), ["_s"], ["_order"], "_size", "_upto")  # a block may be long
+    near = upto.withColumn("_off", F.col("_upto") - F.col("_need")).groupBy("_s").agg(
         F.min_by("_order", F.struct(F.abs("_off"), "_order")).alias("cut"), F.min(F.abs("_off")).alias("off"), F.first("_need").alias("need"))
     return {r._s: r.cut for r in near.collect() if r.off < r.need}
 
@@ -165,5 +166,7 @@ def emit(mix: DataFrame, shards: int = 32) -> DataFrame:
 
 
 def mixed_query(docs: DataFrame) -> DataFrame:
+    """One row per document; ``shards``: the shard that the splitting tree gives each of its copies, comma-joined."""
     mix = mixed(docs.select("doc_id", "source", "text"))
-    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"), F.size("copies").alias("n_copies"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"), F.size("copies").alias("n_copies"),
+                      F.array_join("copies.shard", ",").alias("shards"))
