@@ -149,11 +149,36 @@ def test_bpe_matches_library(encoder):
     r = random.Random(1)
     texts = ["", "a", "ab", "a" * 4097, "<|endoftext|>", "naïve  \t\n 日本語 🙂‍↔️ \x00\x1c\x85", "the " * 500]
     texts += ["".join(chr(r.choice((r.randrange(32, 127), r.randrange(0xA0, 0x500), r.randrange(0x4E00, 0x4F00)))) for _ in range(r.randrange(1, 200))) for _ in range(60)]
-    for t in texts:
-        ids, written = ours.encode(t)
+    texts += ["a" * k for k in range(1, 70)] + ["".join(r.choice("abßé漢q") for _ in range(r.randrange(1, 90))) for _ in range(400)]
+    for t, (ids, written) in zip(texts, ours.encode(texts), strict=True):
         assert ids == theirs.encode_ordinary(t) and written == ",".join(map(str, ids)) and ours.decode(ids) == t.encode()
 
 
+def test_bpe_in_lockstep_is_bpe_one_by_one(encoder):
+    r = random.Random(2)
+    for leaves in (2, 4, 8, 64):
+        pieces = ["".join(r.choice("abest éq") for _ in range(leaves)).encode()[:r.randrange(leaves // 2 + 1, leaves + 1)] for _ in range(200)]
+        assert encoder[0].merged_together(pieces, leaves) == [encoder[0].merged(p) for p in pieces]
+
+
+def test_bpe_remembers_two_generations(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    texts = [words(30, s, vocabulary=400) + " qxz" * s for s in range(12)]
+    ours = bpe.Encoder.__new__(bpe.Encoder)
+    ours.__dict__.update(encoder[0].__dict__, known={}, before={})
+    assert [ids for t in texts for ids, _ in ours.encode([t])] == [encoder[1].encode_ordinary(t) for t in texts]
+    assert len(ours.known) <= 5 and len(ours.before) <= 5
+
+
+def test_tokenized_with_and_without_ids(spark, encoder):
+    rows = [(i, None if i % 7 == 3 else words(i % 50, i)) for i in range(300)]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {i: encoder[1].encode_ordinary(t or "") for i, t in rows}
+    assert {r.doc_id: r.ids for r in bpe.tokenized(df, path, public_tokenizers.PATTERN).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in bpe.tokenized(df, path, public_tokenizers.PATTERN, with_ids=False).collect()} == {i: len(x) for i, x in want.items()}
+
+
 def test_tokenized(docs, empty, encoder):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = bpe.tokenized(docs, path, public_tokenizers.PATTERN)
@@ -188,6 +213,17 @@ def test_bad_host_rejects_soft_failures_only(spark):
     assert not got[1].kept and got[0].kept and got[100].kept and got[100].soft_failed and got[200].kept and got[1].bad_host and not got[100].bad_host
 
 
+def test_host_verdict_follows_the_prior(spark):
+    """Hosts of equal rates reject nothing; of hosts at realistic rates only the one that stands out does."""
+    good, junk = " ".join(f"word{i}" for i in range(70)), " ".join(f"word{i} ####" for i in range(70))
+    rows = [(1000 * h + i, junk if i < (60 if h == 7 else 20) else good, f"h{h}") for h in range(10) for i in range(200)]
+    got = host_quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.source for r in got if r.bad_host} == {"h7"}
+    assert sorted(r.doc_id for r in got if not r.kept) == list(range(7000, 7060)) == sorted(r.doc_id for r in got if r.host_decided)
+    even = [(i, t, h) for i, t, h in rows if h != "h7"]
+    assert all(r.kept for r in host_quality.judged(spark.createDataFrame(even, "doc_id long, text string, source string")).collect())
+
+
 # ---------------------------------------------------------------- licences
 def test_licenses(spark, docs, empty):
     texts = ["Licensed CC-BY, cc by\ncc by 4", "GNU general\npublic license; All Rights reserved.", "x Released under the MIT license", "license the under mit released y", "cc by cc", "", None]
@@ -271,6 +307,22 @@ def test_splitting_tree_is_exact():
     assert (got.sum(axis=0) == quotas).all() and got.min() >= 0 and np.ptp(got.sum(axis=1)) <= 4
 
 
+def test_mixed_query_returns_what_the_tree_drew(spark):
+    docs = spark.createDataFrame([(i, words(20 + i % 50, i), "abc"[min(i % 7, 2)] if i % 11 else None) for i in range(3000)], "doc_id long, text string, source string")
+    size = F.regexp_count("text", F.lit(r"\S+")).cast("bigint")
+    plans = {p.source: p for p in mixing.plan(mixing._keyed(docs, "doc_id", "source", size, 9), "source", (5, 2, 1), 3.0, 32, 9)}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    block = {r.doc_id: r._block for r in mixing._keyed(docs, "doc_id", "source", size, 9).collect()}
+    for r in mixing.mixed_query(docs).collect():
+        p = plans[source[r.doc_id]]
+        want = [str(s[block[r.doc_id]]) for s in p.shards[:r.n_copies]]
+        assert r.shards.split(",") == want if want else r.shards == ""
+    owed = {s: sum(map(len, p.shards)) for s, p in plans.items()}
+    drawn = mixing.split_quotas(np.array([owed[s] for s in plans]), 32, np.random.Generator(np.random.PCG64(9)))
+    for k, p in enumerate(plans.values()):
+        assert Counter(x for c in p.shards for x in c) == Counter({s: int(n) for s, n in enumerate(drawn[:, k]) if n})
+
+
 def test_mixed(spark, docs, empty):
     many = spark.createDataFrame([(i, words(20 + i % 50, i), "abc"[min(i % 7, 2)] if i % 11 else None) for i in range(3000)], "doc_id long, text string, source string")
     mix = mixing.mixed(many)
