@@ -6,8 +6,10 @@ meets the key's value, and the rows then fetch it from their own sub-key.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from plumbline.sources.tables import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 256
+FILTER_BITS = 29  # a bitmap has at most two to this many bits, 64 MB
 
 
 def whole_text(text: Column | str = "text") -> Column:
@@ -57,3 +60,29 @@ def with_group(rows: DataFrame, keys: Sequence[str], by: Column, **merges: tuple
     whole = small.groupBy(*keys).agg(*[fold[how](n).alias(n) for n, (_, how) in merges.items()])
     here = small.select(*keys, "_salt").join(whole, list(keys))
     return salted.join(here, [*keys, "_salt"]).drop("_salt")
+
+
+def hash_filter(hashes: DataFrame, column: str) -> Callable[[Column | str], Column]:
+    """A predicate that is true for every 64-bit hash in ``column`` and for few others.
+
+    The bitmap has two bits per hash and some sixteen places for each, up to ``FILTER_BITS``; a fuller one lets
+    more others pass and misses none, so what follows must still join on the hash.
+    """
+    width = min(max((16 * hashes.count()).bit_length(), 10), FILTER_BITS)
+    h, mask = F.col(column), F.lit((1 << width) - 1)
+    places = hashes.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS INT)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (width - 6), np.uint64)
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_hold(x: pd.Series) -> pd.Series:
+        v, bits = x.to_numpy().view(np.uint64), sent.value
+        hit = np.ones(len(v), bool)
+        for p in (v, v >> np.uint64(32)):
+            p = p & np.uint64((1 << width) - 1)
+            hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(hit)
+
+    return may_hold
