@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.core import settle
 from plumbline.operators.metrics import binned_metrics, regression_metrics, similarity_bin
 from plumbline.operators.similarity import nn_similarity
 
@@ -99,51 +100,96 @@ def q2(oof: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stacking
-def stack(train: DataFrame, test: DataFrame, members: Sequence[str], alphas: Sequence[float] = STACK_ALPHAS):
-    """Ridge on out-of-fold columns; returns (test predictions, coefficients, alpha).
+def best_members(cells: DataFrame, keys: Sequence[str] = ("part",)) -> DataFrame:
+    """(keys, member, model, rep): the model with the best training score of each family."""
+    from plumbline.operators.ranking import select_best
+
+    return select_best(cells, [*keys, "fam"], "q2", "key").select(*keys, F.col("fam").alias("member"), F.col("key").alias("model"), "rep")
+
+
+def member_sets(chosen: DataFrame, keys: Sequence[str], ablations: dict[str, Sequence[str]]) -> DataFrame:
+    """(keys, members, member): the set ``full``, and one set per ablation without the members whose representation names a token.
 
-    The penalty minimises the leave-one-out error. With the Gram matrix of the few members rotated
-    to its axes, one pass over the rows gives that error exactly for all penalties.
+    What a representation holds decides, not its family label. A set that equals ``full``, or is empty, is left out.
     """
-    m = len(members)
-    mean = train.agg(F.avg("y").alias("y"), F.count("*").alias("n"), *[F.avg(c).alias(c) for c in members]).first()
-    xc = [F.col(c) - F.lit(mean[c]) for c in members]
-    yc = F.col("y") - F.lit(mean["y"])
-    g = train.agg(
-        *[F.sum(xc[i] * xc[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)],
-        *[F.sum(xc[i] * yc).alias(f"b{i}") for i in range(m)],
-    ).first()
-    gram = np.array([[g[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)])
-    lam, axes = np.linalg.eigh(gram)
-    lam = np.maximum(lam, 0.0)
-    rot = axes.T @ np.array([g[f"b{i}"] for i in range(m)])
-    z = [sum(xc[i] * F.lit(float(axes[i, j])) for i in range(m)) for j in range(m)]
-    rows = train.select(yc.alias("_y"), *[c.alias(f"_z{j}") for j, c in enumerate(z)])
-    errs = []
-    for a in alphas:
-        fit = sum(F.col(f"_z{j}") * F.lit(float(rot[j] / (lam[j] + a))) for j in range(m))
-        lev = F.lit(1.0 / mean["n"]) + sum(F.col(f"_z{j}") * F.col(f"_z{j}") * F.lit(float(1 / (lam[j] + a))) for j in range(m))
-        errs.append(F.sum(F.pow((F.col("_y") - fit) / (1 - lev), 2)))
-    loo = rows.agg(*[e.alias(f"e{i}") for i, e in enumerate(errs)]).first()
-    alpha = alphas[int(np.argmin([loo[f"e{i}"] for i in range(len(alphas))]))]
-    coef = axes @ (rot / (lam + alpha))
-    pred = F.lit(float(mean["y"])) + sum((F.col(c) - F.lit(mean[c])) * F.lit(float(w)) for c, w in zip(members, coef))
-    return test.withColumn("pred", pred), dict(zip(members, coef.tolist())), alpha
-
-
-def stack_members(cells: DataFrame) -> list[str]:
-    """The key with the best training score of each family."""
-    from plumbline.operators.ranking import select_best
+    full = chosen.select(*keys, F.lit("full").alias("members"), "member")
+    out = full
+    for name, tokens in ablations.items():
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | F.contains("rep", F.lit(t))
+        some = chosen.groupBy(*keys).agg(F.bool_or(hit).alias("_hit"))
+        out = out.unionByName(chosen.where(~hit).join(some.where("_hit"), list(keys)).select(*keys, F.lit(name).alias("members"), "member"))
+    return out
+
+
+def prediction_columns(preds: DataFrame, chosen: DataFrame, keys: Sequence[str], members: Sequence[str]) -> DataFrame:
+    """(keys, id, role, y, x0, x1, ...): one row per entity and partition with its members' predictions; rows that lack one are left out."""
+    rows = preds.join(chosen.select(*keys, "model", "member"), [*keys, "model"])
+    cols = [F.max(F.when(F.col("member") == m, F.col("pred"))).alias(f"x{i}") for i, m in enumerate(members)]
+    return rows.groupBy(*keys, "id", "role").agg(F.max("y").alias("y"), *cols).dropna(subset=[f"x{i}" for i in range(len(members))])
 
-    return [r["key"] for r in select_best(cells, ["fam"], "q2", "key").select("key").orderBy("key").collect()]
 
+def _axes(m: int, keys: Sequence[str]):
+    """From one row of moments per (keys, members): the axes of the Gram matrix, its eigenvalues and the rotated right side."""
 
-def prediction_columns(preds: DataFrame, role: str, members: Sequence[str]) -> DataFrame:
-    """(id, y, one column per member) of one role; rows that lack a member are left out."""
-    rows = preds.where((F.col("role") == role) & F.col("model").isin(*members))
-    return rows.groupBy("id").pivot("model", list(members)).agg(F.first("pred")).join(
-        rows.groupBy("id").agg(F.first("y").alias("y")), "id"
-    ).dropna()
+    def solve(batches):
+        for t in batches:
+            for r, row in t.iterrows():
+                use = np.array([row[f"u{i}"] for i in range(m)], float)
+                gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)], float) * np.outer(use, use)
+                lam, axes = np.linalg.eigh(gram)
+                rot = axes.T @ (use * np.array([row[f"b{i}"] for i in range(m)], float))
+                for j in range(m):
+                    t.loc[r, [f"l{j}", f"r{j}"]] = max(lam[j], 0.0), rot[j]
+                    for i in range(m):
+                        t.loc[r, f"a{i}_{j}"] = axes[i, j] * use[i]
+            yield t[[*keys, "members", "n", "my", *[f"m{i}" for i in range(m)], *_axis_columns(m)]]
+
+    return solve
+
+
+def _axis_columns(m: int) -> list[str]:
+    return [*[f"l{j}" for j in range(m)], *[f"r{j}" for j in range(m)], *[f"a{i}_{j}" for i in range(m) for j in range(m)]]
+
+
+def stack(columns: DataFrame, sets: DataFrame, keys: Sequence[str], members: Sequence[str], alphas: Sequence[float] = STACK_ALPHAS) -> tuple[DataFrame, DataFrame]:
+    """Ridge on out-of-fold columns, for every partition and set of members at once.
+
+    ``columns``: :func:`prediction_columns`; ``sets``: :func:`member_sets`. Returns (keys, members, id, role, y, pred) for
+    all rows, and (keys, members, n, alpha, one weight per member, 0 outside the set). One aggregation gives the Gram
+    matrices, a second the leave-one-out error of every penalty: rotated to the axes of its matrix, a row's leverage and
+    fit are sums over the members for each penalty. The smallest error wins, ties go to the smaller penalty. Partitions without training rows give none.
+    """
+    m, keys = len(members), list(keys)
+    train = columns.where("role = 'train'")
+    mean = train.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("my"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(m)])
+    x = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(m)]
+    y = F.col("y") - F.col("my")
+    gram = train.join(mean, keys).groupBy(*keys).agg(
+        *[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)], *[F.sum(x[i] * y).alias(f"b{i}") for i in range(m)])
+    use = sets.groupBy(*keys, "members").agg(*[F.max((F.col("member") == f).cast("double")).alias(f"u{i}") for i, f in enumerate(members)])
+    moments = use.join(mean, keys).join(gram, keys)
+    for c in _axis_columns(m):
+        moments = moments.withColumn(c, F.lit(0.0))
+    named = [*keys, "members", "n", "my", *[f"m{i}" for i in range(m)], *_axis_columns(m)]
+    # One row per (partition, set) goes through the solver.
+    fits = settle(moments.mapInPandas(_axes(m, keys), moments.select(*named).schema))
+    z = [sum(x[i] * F.col(f"a{i}_{j}") for i in range(m)).alias(f"z{j}") for j in range(m)]
+    rows = train.join(fits, keys).select(*keys, "members", "n", y.alias("_y"), *z, *[f"l{j}" for j in range(m)], *[f"r{j}" for j in range(m)])
+    errors = []
+    for k, a in enumerate(alphas):
+        part = [F.col(f"z{j}") / (F.col(f"l{j}") + F.lit(float(a))) for j in range(m)]
+        fit, lev = sum(p * F.col(f"r{j}") for j, p in enumerate(part)), 1 / F.col("n") + sum(p * F.col(f"z{j}") for j, p in enumerate(part))
+        errors.append(F.sum(F.pow((F.col("_y") - fit) / (1 - lev), 2)).alias(f"e{k}"))
+    loo = rows.groupBy(*keys, "members").agg(*errors)
+    every = F.array(*[f"e{k}" for k in range(len(alphas))])
+    best = loo.select(*keys, "members", F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.array_position(every, F.array_min(every)).cast("int")).alias("alpha"))
+    weights = [sum(F.col(f"a{i}_{j}") * F.col(f"r{j}") / (F.col(f"l{j}") + F.col("alpha")) for j in range(m)).alias(f"w{i}") for i in range(m)]
+    coef = settle(fits.join(best, [*keys, "members"]).select(*keys, "members", "n", "alpha", "my", *[f"m{i}" for i in range(m)], *weights))
+    pred = F.col("my") + sum(x[i] * F.col(f"w{i}") for i in range(m))
+    out = columns.join(coef.drop("n"), keys).select(*keys, "members", "id", "role", "y", pred.alias("pred"))
+    return out, coef.select(*keys, "members", "n", "alpha", *[F.col(f"w{i}").alias(f) for i, f in enumerate(members)])
 
 
 # ---------------------------------------------------------------- probe and scoring

@@ -2,10 +2,14 @@
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from plumbline.core import settle
 from plumbline.functions.features import descriptors
 from plumbline.operators import metrics as M
 from plumbline.operators import models as ML
+from plumbline.operators import selection as L
+from plumbline.operators.poisson import poisson_scores
 from plumbline.plans import fixtures as X
+from plumbline.plans.inference import B_ROWS, SEED
 from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
@@ -79,16 +83,16 @@ def m6(spark, sf):
 
 @query("m7_stack")
 def m7(spark, sf):
-    """The stack over one cell per family, and the same without the mixed family, per partition of a design."""
-    out = None
-    for part in ("stratified_f00", "source_f00"):
-        members = ML.stack_members(X.cells(spark, sf).where(F.col("part") == part))
-        p = X.predictions(spark, sf).where(F.col("part") == part)
-        for name, use in (("full", members), ("without_mixed", [m for m in members if X.MODELS[m] != "Hyb"])):
-            test, _, alpha = ML.stack(ML.prediction_columns(p, "train", use), ML.prediction_columns(p, "test", use), use)
-            row = M.regression_metrics(test).select(F.lit(part).alias("part"), F.lit(name).alias("members"), F.lit(float(alpha)).alias("alpha"), "n", "r2", "rmse", "mae")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Stacks of every partition, with and without the members that know the language or the source, each compared with the full one."""
+    families = sorted(set(X.MODELS.values()))
+    chosen = settle(ML.best_members(X.cells(spark, sf)))
+    sets = ML.member_sets(chosen, ["part"], {"without_lang": ["lang"], "without_source": ["source"]})
+    preds, weights = ML.stack(ML.prediction_columns(X.predictions(spark, sf), chosen, ["part"], families), sets, ["part"], families)
+    test = settle(preds.where("role = 'test'").select("part", F.col("members").alias("model"), "id", "y", "pred"))
+    scored = M.regression_metrics(test, ["part", "model"]).withColumnRenamed("model", "members")
+    pairs = spark.createDataFrame([("full", "without_lang"), ("full", "without_source")], "model_a string, model_b string")
+    change = L.contrasts(test, poisson_scores(test, ["part"], B_ROWS, SEED), pairs, ["part"]).drop("model_a").withColumnRenamed("model_b", "members")
+    return scored.join(weights.drop("n"), ["part", "members"]).join(change, ["part", "members"], "left")
 
 
 @query("m8_linear_probe")
