@@ -1,6 +1,7 @@
 """Threshold joins by prefixes and by MinHash bands against all pairs, with hot elements and groups of copies."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,30 @@ def test_minhash_knn(spark):
         total += len(best)
         found += len({j for _, j in best} & {m[0] for m in mine if m})
     assert total > 300 and found >= 0.9 * total
+
+
+def test_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(5)
+    sets = [set(rng.integers(0, 1 << 62, n).tolist()) for n in (0, 1, 3, 40, 40, 700)]
+    sets += [set(list(sets[3])[:35]) | {1, 2}, set(list(sets[5])[:690])]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rid bigint, els array<bigint>")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(len(sets))], "q bigint, r bigint")
+    for r in P.sketched(pairs, df, df).collect():
+        real = len(sets[r.q] ^ sets[r.r])
+        assert (r.n, r.m) == (len(sets[r.q]), len(sets[r.r])) and r.apart <= real and (r.apart - real) % 2 == 0
+        assert 2 * min(r.n, r.m) < max(r.n, r.m) or r.apart >= 0.3 * real
+
+
+def test_whole_sets_travel_only_for_pairs_that_can_match(spark, monkeypatch):
+    """300 sets of 40 elements, two of which are similar: all 44,850 pairs are asked for, hardly more than one is verified whole."""
+    sets = [list(range(1000 * i, 1000 * i + 40)) for i in range(299)]
+    sets.append(sets[0][:39] + [7])
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "rid bigint, els array<bigint>")
+    pairs = spark.createDataFrame([(i, j) for i in range(300) for j in range(i)], "q bigint, r bigint")
+    asked = []
+    whole = P.sketched
+    monkeypatch.setattr(P, "sketched", lambda *a: asked.append(whole(*a)) or asked[-1])
+    got = P.verified(pairs, df, df, 0.4).collect()
+    assert [(r.q, r.r) for r in got] == [(299, 0)]
+    most = (F.col("n") + F.col("m") - F.col("apart")) / 2
+    assert asked[0].where(most >= 0.4 * (F.col("n") + F.col("m") - most)).count() < 50
