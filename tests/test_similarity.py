@@ -165,3 +165,17 @@ def test_group_split_rules(spark):
     sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}
     assert sum(sizes.values()) == 120 and sorted(sizes.values()) == [18, 21, 21, 60]
     assert folds.join(df, "id").groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+
+
+def test_a_set_travels_once_per_tile(spark, monkeypatch):
+    """Many small blocks in one tile: a query goes there once, and not once per block that it visits."""
+    monkeypatch.setattr(J, "ELEMENTS_PER_BLOCK", 60)
+    sets = make(120, 8)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rid bigint, els array<bigint>").withColumn("n", F.size("els")).where("n > 0")
+    blocks = J._Blocks(df)
+    assert blocks.total > 10
+    every = df.select(F.col("rid").alias("q"), F.inline(blocks.classes()))
+    visits = every.select("q", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("blk"))
+    assert visits.count() == df.count() * blocks.total
+    placed = J._placed(visits, blocks).collect()
+    assert len(placed) == df.count() and all(sorted(r.nos) == list(range(blocks.total)) for r in placed)
