@@ -18,12 +18,12 @@ COLS = ["n_tokens", "n_types", "type_token_ratio", "mean_token_length", "digit_s
 
 @X.shared
 def described(spark, sf):
-    """(id, y, role, fold, els, descriptors, features, pred): documents under the source-disjoint split."""
+    """(id, y, role, fold, descriptors, features, pred): documents under the source-disjoint split. Token sets stay out: only scoring needs them."""
     d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = d.select(F.col("doc_id").alias("id"), *[c.cast("double").alias(n) for n, c in descriptors(F.col("text")).items() if n in COLS])
     inner = X.folds(spark, sf).where("design = 'source'").select("id", F.col("inner_f").cast("int").alias("fold"))
     s = X.slice_scores(spark, sf).select("id", "y", "role", "pred")
-    return rows.join(inner, "id").join(s, "id").join(X.sets(spark, sf), "id").withColumn("features", F.array(*COLS))
+    return rows.join(inner, "id").join(s, "id").withColumn("features", F.array(*COLS))
 
 
 def _train(spark, sf):
@@ -109,4 +109,5 @@ def m9(spark, sf):
     n, sd = ML.label_stats(train)
     model = Pipeline(stages=[*ML.preprocess_stages(COLS), ML.ridge(10.0, n, sd)]).fit(train)
     bins = ML.bin_table(model.transform(test).join(X.slice_scores(spark, sf).select("id", "nn_sim"), "id"))
-    return ML.score(test, model, train.select("id", "els"), bins)
+    sets = X.sets(spark, sf)
+    return ML.score(test.join(sets, "id"), model, train.select("id").join(sets, "id"), bins)
