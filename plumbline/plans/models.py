@@ -16,22 +16,32 @@ from plumbline.sources import tables as S
 COLS = ["n_tokens", "n_types", "type_token_ratio", "mean_token_length", "digit_share", "upper_share", "space_share", "punct_share"]
 
 
-@X.shared
-def described(spark, sf):
-    """(id, y, role, fold, descriptors, features, pred): documents under the source-disjoint split. Token sets stay out: only scoring needs them."""
+def _described(spark, sf, sets):
     d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = d.select(F.col("doc_id").alias("id"), *[c.cast("double").alias(n) for n, c in descriptors(F.col("text")).items() if n in COLS])
     inner = X.folds(spark, sf).where("design = 'source'").select("id", F.col("inner_f").cast("int").alias("fold"))
     s = X.slice_scores(spark, sf).select("id", "y", "role", "pred")
-    return rows.join(inner, "id").join(s, "id").withColumn("features", F.array(*COLS))
+    return rows.join(inner, "id").join(s, "id").join(sets, "id").withColumn("features", F.array(*COLS))
+
+
+@X.shared
+def described(spark, sf):
+    """(id, y, role, fold, descriptors, features, pred): documents under the source-disjoint split; the ids of the sets join, their tokens stay out."""
+    return _described(spark, sf, X.sets(spark, sf).select("id"))
+
+
+@X.shared
+def described_sets(spark, sf):
+    """The same rows with their token sets (els), which only scoring needs."""
+    return _described(spark, sf, X.sets(spark, sf))
 
 
-def _train(spark, sf):
-    return described(spark, sf).where("role = 'train'").drop("features", "pred")
+def _train(spark, sf, rows=described):
+    return rows(spark, sf).where("role = 'train'").drop("features", "pred")
 
 
-def _test(spark, sf):
-    return described(spark, sf).where("role = 'test'").drop("features", "pred")
+def _test(spark, sf, rows=described):
+    return rows(spark, sf).where("role = 'test'").drop("features", "pred")
 
 
 @query("m1_preprocess")
@@ -105,9 +115,8 @@ def m8(spark, sf):
 
 @query("m9_score")
 def m9(spark, sf):
-    train, test = _train(spark, sf), _test(spark, sf)
+    train, test = _train(spark, sf, described_sets), _test(spark, sf, described_sets)
     n, sd = ML.label_stats(train)
     model = Pipeline(stages=[*ML.preprocess_stages(COLS), ML.ridge(10.0, n, sd)]).fit(train)
     bins = ML.bin_table(model.transform(test).join(X.slice_scores(spark, sf).select("id", "nn_sim"), "id"))
-    sets = X.sets(spark, sf)
-    return ML.score(test.join(sets, "id"), model, train.select("id").join(sets, "id"), bins)
+    return ML.score(test, model, train.select("id", "els"), bins)
