@@ -116,13 +116,13 @@ nul AS (SELECT part, any_value(m) AS train_mean, sqrt(avg(power(y - m, 2))) AS n
 
 @query("a11_null_model", NULL_SQL + " SELECT part, round(train_mean, 6) AS train_mean, round(null_rmse, 6) AS null_rmse FROM nul")
 def a11(spark, sf):
-    return M.null_model(X.predictions(spark, sf), ["part"])
+    return M.null_model(X.scored(spark, sf), ["part"])
 
 
 @query("a11_worse_than_null", NULL_SQL + " SELECT part, count(*) AS n_models, count(*) FILTER (test_r2 < 0) AS n_negative, count(*) FILTER (test_rmse > round(null_rmse, 6)) AS n_worse_than_null FROM cells JOIN nul USING (part) GROUP BY part")
 def a11b(spark, sf):
     c = X.cells(spark, sf).withColumnsRenamed({"test_r2": "r2", "test_rmse": "rmse"})
-    null = M.null_model(X.predictions(spark, sf), ["part"]).withColumn("null_rmse", F.round("null_rmse", 6))
+    null = M.null_model(X.scored(spark, sf), ["part"]).withColumn("null_rmse", F.round("null_rmse", 6))
     return M.worse_than_null(c, null, ["part"])
 
 

@@ -14,7 +14,7 @@ from plumbline.sources import tables as S
 def claims(spark, sf):
     c, parts, e = X.cells(spark, sf), X.parts(spark, sf), X.entities(spark, sf)
     shared = shared_groups(parts.where("design = 'source'"), e.select("id", "grp"), ["part"])
-    null = c.join(null_model(X.predictions(spark, sf), ["part"]), "part")
+    null = c.join(null_model(X.scored(spark, sf), ["part"]), "part")
     mean_of = lambda k: F.avg(F.when(F.col("key") == k, F.col("test_r2")))
     return K.run_claims([
         K.claim("every document is held out once by each design", coverage_check(parts), F.count("*") == 0, F.count("*")),
