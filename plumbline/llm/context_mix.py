@@ -9,8 +9,8 @@ count; the mixed probability is then refined by an adaptive table over (bits so
 The sum over bits is the text's probability; a text of n bytes costs so many bits per byte.
 
 Distribution: bit counts come from all training texts and are added up over tasks, table chunk by chunk. The
-weights (some thousand numbers) are fitted on a sample of training texts of at most about ``LEARN_BYTES``,
-drawn by hash, online in every task, and averaged by the bits each task has seen. The tables have a fixed size
+weights (some thousand numbers) are fitted on all training texts, online in every task over mini-batches that
+grow, and averaged by the bits each task has seen. The tables have a fixed size
 (``TABLE_BITS``) however large the corpus, so they can be broadcast. What a byte costs depends on the word so
 far and the last five bytes only, so a task sorts the contexts of a few megabytes and computes each once.
 
@@ -39,8 +39,7 @@ GATES = (1 + len(GATED) * LEVELS) * 8
 BACK = 4  # bytes of left context
 LEFT = 256  # bytes of a cut text that its next part sees
 PIECE = 5 << 19  # bytes whose contexts are sorted together
-BATCH = 1 << 16  # bytes of an online mini-batch
-LEARN_BYTES = 24_000_000  # training text that the weights are fitted on
+BATCH, LAST_BATCH = 1 << 16, 1 << 20  # bytes of the first and of the last online mini-batches
 DELTA, RATE, CALM, LIMIT = 0.4, 0.2, 20.0, 8.0
 APM_STEPS, APM_RATE = 33, 0.02
 BLOCK_BYTES = 40_000_000  # text of a block of documents
@@ -259,15 +258,15 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _batches_of(texts: Iterator[bytes], limit: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
-    """Parts of texts in lists of about ``limit`` bytes."""
+def _batches_of(texts: Iterator[bytes], limit: int, most: int = 0) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Parts of texts in lists of about ``limit`` bytes, which grows by an eighth from list to list up to ``most``."""
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
         if size >= limit:
             yield from grouped_parts(held, limit)
-            held, size = [], 0
+            held, size, limit = [], 0, max(limit, min(limit * 9 // 8, most))
     yield from grouped_parts(held, limit)
 
 
@@ -330,7 +329,7 @@ def train_mixer(texts: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(counts.value)
-        for parts in _batches_of((t for b in batches for t in _texts(b.column(0))), BATCH):
+        for parts in _batches_of((t for b in batches for t in _texts(b.column(0))), BATCH, LAST_BATCH):
             grams, words, _ = contexts(parts)
             order, first, times = distinct(grams, words)
             mixer.learn(grams[order[first]], words[order[first]], times)
@@ -370,7 +369,7 @@ def block_words(docs: DataFrame) -> DataFrame:
     return docs.select("block", "train", "text").mapInArrow(words, "block bigint, word binary, n bigint")
 
 
-def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, learn_bytes: int = LEARN_BYTES) -> DataFrame:
+def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): one row per input row.
 
     Rows whose crc32 of the id, modulo ``folds``, is ``held_fold`` are held out; a null id has no crc and
@@ -390,8 +389,7 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: in
     train = rows.where("train")
     table = train_counts(train)
     counts = spark.sparkContext.broadcast(table)
-    share = min(1.0, learn_bytes / max(n_bytes, 1))
-    model = spark.sparkContext.broadcast(train_mixer(train.where(F.pmod(F.xxhash64(F.lit(1), drawn), F.lit(1_000_000)) < round(share * 1_000_000)), counts))
+    model = spark.sparkContext.broadcast(train_mixer(train, counts))
     frozen = spark.sparkContext.broadcast(log_odds(table))
     counts.unpersist()
 

@@ -404,6 +404,27 @@ def test_context_mixing(spark, docs, empty):
     assert context_mix.scored(empty).count() == 0
 
 
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    seen = []
+
+    def learn(texts, counts):
+        seen.append(texts.count())
+        raise StopIteration
+
+    monkeypatch.setattr(context_mix, "train_mixer", learn)
+    monkeypatch.setattr(context_mix, "train_counts", lambda texts: np.zeros((2, 1), np.float32))
+    big = spark.range(70).selectExpr("id AS doc_id", "repeat('some words ', 100000) AS text")
+    with pytest.raises(StopIteration):
+        context_mix.scored(big)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(70))]
+
+
+def test_mini_batches_grow_and_hold_every_byte():
+    texts = [b"x" * 1000] * 400
+    sizes = [sum(len(p[2]) for p in parts) for parts in context_mix._batches_of(iter(texts), 4000, 20_000)]
+    assert sum(sizes) == 400 * 1001 and sizes[0] < 6000 and max(sizes) > 19_000 and max(sizes) < 22_000
+
+
 def test_bits_are_a_distribution():
     """Over all next bytes the probabilities add up to one, and a text cut in parts scores as a whole."""
     counts = np.zeros((2, context_mix.STARTS[-1]), np.float32)
