@@ -77,3 +77,16 @@ def test_hash_filter_misses_none(spark, monkeypatch):
         assert set(range(0, 3000, 10)) <= got and len(got) < (400 if bits == 29 else 3000)
     none = util.hash_filter(rows.where("id < 0").select("h"), "h")
     assert rows.where(none("h")).count() == 0
+
+
+def test_near_dedup_links_near_fingerprints_too(spark):
+    from plumbline.llm.simhash import _fingerprint
+
+    line = " ".join(f"w{i}" for i in range(7))
+    rows = [(i, " ".join([line] * 60) + " " + " ".join(f"{tail}{j}" for j in range(9)), "en") for i, tail in enumerate("abc")]
+    rows += [(7, "some other words that nothing else here has", "en"), (8, None, "en"), (9, " ", "en")]
+    near = lambda a, b: (_fingerprint(rows[a][1], 3) ^ _fingerprint(rows[b][1], 3)).bit_count() <= corpus_pipeline.NEAR_BITS
+    sets = [brute_shingles(t) for _, t, _ in rows[:3]]
+    assert near(0, 1) and near(0, 2) and all(5 * len(a & b) < 4 * len(a | b) for a in sets for b in sets if a is not b)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 7, 8]
