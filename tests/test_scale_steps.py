@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions.features import shingle_bits
-from plumbline.operators import vectors
+from plumbline.operators import attribution, vectors
 from plumbline.operators.inference import levene
 
 
@@ -62,3 +62,20 @@ def test_sides_of_levene_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin [side" not in plan
+
+
+def test_units_of_the_draws_of_faithfulness_are_not_sorted_by_range(spark):
+    units = spark.range(60).select((F.col("id") % 4).alias("id"), F.floor(F.col("id") / 4).alias("unit"))
+    scores = units.withColumn("method", F.explode(F.array(F.lit("m"), F.lit("n")))).withColumn("score", F.when(F.col("method") == "m", F.col("unit")).otherwise(-F.col("unit")).cast("double"))
+    weights = units.where("unit <> 0").withColumn("weight", (F.col("unit") - 7) / 10.0)
+    out = attribution.top_unit_drops(scores, weights.unionByName(weights.where("id = 1")), draws=3)
+    plan = out._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
+    got = {(r.id, r.method): r for r in out.collect()}
+    number = lambda i, b, u: int(hashlib.md5(f"0:{i}:{b}:{u}".encode()).hexdigest()[:8], 16) % 2**31
+    for i in range(4):
+        w = {u: (u - 7) / 10 * (2 if i == 1 else 1) for u in range(1, 15)}
+        drawn = [abs(sum(w.get(u, 0) for u in sorted(range(15), key=lambda u: (number(i, b, u), u))[:3])) for b in range(3)]
+        for method, top in (("m", (14, 13, 12)), ("n", (0, 1, 2))):
+            assert abs(got[i, method].top_drop - abs(sum(w.get(u, 0) for u in top))) < 1e-9
+            assert abs(got[i, method].random_drop - sum(drawn) / 3) < 1e-9
