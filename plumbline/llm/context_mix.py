@@ -39,6 +39,7 @@ GATES = (1 + len(GATED) * LEVELS) * 8
 BACK = 4  # bytes of left context
 LEFT = 256  # bytes of a cut text that its next part sees
 PIECE = 5 << 19  # bytes whose contexts are sorted together
+NEAR = 1 << 16  # bytes whose contexts are made together: the arrays stay in the cache
 BATCH, LAST_BATCH = 1 << 16, 1 << 20  # bytes of the first and of the last online mini-batches
 DELTA, RATE, CALM, LIMIT = 0.4, 0.2, 20.0, 8.0
 APM_STEPS, APM_RATE = 33, 0.02
@@ -81,19 +82,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each byte to predict: the last five bytes as a number, the hash of its word so far, its text's number."""
+    groups, size = [[]], 0
+    for p in parts:
+        if size >= NEAR:
+            groups.append([])
+            size = 0
+        groups[-1].append(p)
+        size += len(p[2])
+    got = [_contexts(g) for g in groups]
+    return got[0] if len(got) == 1 else tuple(map(np.concatenate, zip(*got)))
+
+
+def _contexts(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pieces = [b"\0" * BACK + left + body for _, left, body in parts]
     data = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(data)
-    grams = np.zeros(n, _U)
-    for back in range(BACK + 1):
-        grams[back:] |= data[:n - back].astype(_U) << _U(8 * back)
+    wide = data.astype(_U)
+    grams = wide.copy()
+    for back in range(1, BACK + 1):
+        grams[back:] |= wide[:n - back] << _U(8 * back)
     space = ((data >= 9) & (data <= 13)) | (data == 32) | (data == 0)
     at = np.arange(n, dtype=np.int32)
     start = np.maximum.accumulate(np.where(space, at + 1, np.int32(0)))
     start = np.append(np.int32(0), start[:-1])  # where the word of the byte before began
     up, down = _powers(n + 1)
-    sums = np.append(_U(0), np.cumsum((data.astype(_U) + _U(1)) * down[:n], dtype=_U))
-    words = (sums[at] - sums[start]) * up[at]
+    sums = np.append(_U(0), np.cumsum((wide + _U(1)) * down[:n], dtype=_U))
+    words = (sums[:n] - sums[start]) * up[:n]
     lengths = np.fromiter((len(body) for _, _, body in parts), np.int64, len(parts))
     whole = np.fromiter(map(len, pieces), np.int64, len(parts))
     begin = np.cumsum(whole) - lengths
@@ -103,12 +117,33 @@ def contexts(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndar
 
 
 def distinct(grams: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, times): an order that brings equal contexts together, where each begins, how often it comes."""
-    key = (grams * _U(0xC2B2AE3D27D4EB4F)) ^ (words * _U(0xD6E8FEB86659FD93))
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return order, first, np.diff(np.append(first, len(key)))
+    """(order, first, times): an order that brings equal contexts together, where each begins, how often it comes.
+
+    What comes before a byte leads the order, the last two bytes first, so bytes after the same context are neighbours.
+    Places are sorted as the low bits of the keys, which is faster than an argsort; contexts that agree in all other
+    bits may begin more than once, each time with their own number.
+    """
+    rest = (grams >> _U(24)) * _U(0xC2B2AE3D27D4EB4F) ^ words * _U(0xD6E8FEB86659FD93)
+    rest = (rest ^ (rest >> _U(32))) * _U(ODD)
+    low = len(grams).bit_length()
+    lead = (grams & _U(0xFF00)) << _U(48) | (grams & _U(0xFF0000)) << _U(32) | (rest >> _U(24 + low)) << _U(8 + low)
+    order = np.sort(lead | (grams & _U(0xFF)) << _U(low) | np.arange(len(grams), dtype=_U)) & _U((1 << low) - 1)
+    order = order.astype(np.int64)
+    g, w = grams[order], words[order]
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))) if len(g) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(g)))
+
+
+def shared_bits(grams: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
+    """For each bit where a run of neighbours begins that agree in all before it and in the bit itself."""
+    if not len(grams):
+        return
+    last = np.zeros(len(grams), np.uint8)  # the number of bits in which a byte agrees with its neighbour's, 8 and more for all
+    differ = (grams[1:] ^ grams[:-1])
+    other = (differ > _U(0xFF)) | (words[1:] != words[:-1])
+    last[1:] = np.where(other, 0, 8 - np.frexp((differ & _U(0xFF)).astype(np.float32))[1])
+    for bit in range(8):
+        yield np.flatnonzero(last <= bit)
 
 
 def _hashes(grams: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -146,20 +181,29 @@ def count_bits(grams: np.ndarray, words: np.ndarray, times: np.ndarray, counts:
 
 
 # ---------------------------------------------------------------- mixing
+#: The gate of the levels of the tables in ``GATED``, as digits to the base LEVELS + 1: the last known context wins.
+_GATE_OF = np.array([
+    next((place * LEVELS + level for place, level in reversed(list(enumerate(digits))) if level), 0) * 8
+    for digits in np.ndindex(*[LEVELS + 1] * len(GATED))])
+
+
 class Mixer:
-    """Gated weights and the adaptive refinement, over fixed bit counts (2 x slots)."""
+    """Gated weights and the adaptive refinement, over log-odds and levels of all slots.
+
+    From bit counts (2 x slots), or with what ``without_own`` makes of them, a mixer learns: it holds both twice, for
+    events that are a zero and then for those that are a one.
+    """
 
     def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.counts = counts
         self.weights = np.full((GATES, TABLES), 0.2) if weights is None else weights
         centre = 1 / (1 + np.exp(-np.linspace(-8, 8, APM_STEPS)))
         self.refined = np.tile(centre, (256, 1)) if refined is None else refined
         self.seen = 0.0
-        self.odds = self.level = None
+        self.odds, self.level = (None, None) if counts is None else without_own(counts)
 
     @classmethod
-    def frozen(cls, odds: np.ndarray, level: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> Mixer:
-        """A mixer that only scores, from log-odds and levels of all slots."""
+    def frozen(cls, odds: np.ndarray, level: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> Mixer:
+        """A mixer from log-odds and levels: of all slots it only scores, from those of ``without_own`` it learns."""
         out = cls(None, weights, refined)
         out.odds, out.level = odds, level
         return out
@@ -168,26 +212,24 @@ class Mixer:
         """Log-odds by table, gate and the bit. While learning, every event is seen without its own count."""
         one = _target(grams, bit)
         x = np.empty((TABLES, len(grams)), np.float32)
-        gate = np.zeros(len(grams), np.int64)
+        own = one.astype(np.uint32) * np.uint32(STARTS[-1]) if len(self.odds) > STARTS[-1] else None
         levels, node = {}, _node(grams, bit)
         for table in range(TABLES):
             slot = _slots(hashes, node, table)
-            if self.odds is not None:
-                x[table] = self.odds[slot]
-                levels[table] = self.level[slot] if table in GATED else None
-            else:
-                n0 = np.maximum(self.counts[0][slot] - (1 - one), 0)
-                n1 = np.maximum(self.counts[1][slot] - one, 0)
-                x[table] = np.clip(np.log((n1 + DELTA) / (n0 + DELTA)), -LIMIT, LIMIT)
-                levels[table] = _level(n0 + n1)
-        for place, table in enumerate(GATED):
-            gate = np.where(levels[table] > 0, place * LEVELS + levels[table], gate)
-        return x, gate * 8 + bit, one
+            slot = (slot if own is None else slot + own).astype(np.intp)
+            x[table] = self.odds.take(slot)
+            if table in GATED:
+                levels[table] = self.level.take(slot)
+        digits = np.zeros(len(grams), np.uint8)
+        for table in GATED:
+            digits = digits * np.uint8(LEVELS + 1) + levels[table].view(np.uint8)
+        return x, (_GATE_OF + bit).take(digits), one
 
     def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         total = np.zeros(len(gate), np.float32)
+        weights = self.weights.T.astype(np.float32)
         for table in range(TABLES):
-            total += x[table] * self.weights[:, table].astype(np.float32)[gate]
+            total += x[table] * weights[table].take(gate)
         return np.clip(total, -12, 12).astype(np.float64)
 
     def _cells(self, grams: np.ndarray, bit: int, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,41 +241,57 @@ class Mixer:
 
     def learn(self, grams: np.ndarray, words: np.ndarray, times: np.ndarray) -> None:
         """One online step over the distinct contexts of a mini-batch; steps get shorter."""
-        hashes, rate = _hashes(grams, words), RATE / (1 + self.seen / (8 * BATCH)) ** 0.5
-        for bit in range(8):
-            x, gate, one = self._inputs(grams, hashes, bit)
+        whole, rate = _hashes(grams, words), RATE / (1 + self.seen / (8 * BATCH)) ** 0.5
+        seen = times.astype(np.float64)
+        for bit, at in enumerate(shared_bits(grams, words)):
+            some, hashes, n = grams[at], [h[at] for h in whole], np.add.reduceat(seen, at)
+            x, gate, one = self._inputs(some, hashes, bit)
             odds = self._mixed(x, gate)
             p = 1 / (1 + np.exp(-odds))
-            miss, bend = (one - p) * times, p * (1 - p) * times
+            miss, bend = (one - p) * n, p * (1 - p) * n
             for table in range(TABLES):
-                slope = np.bincount(gate, weights=miss * x[table], minlength=GATES)
-                curve = np.bincount(gate, weights=bend * x[table] ** 2, minlength=GATES)
+                v = x[table].astype(np.float64)
+                slope = np.bincount(gate, weights=miss * v, minlength=GATES)
+                curve = np.bincount(gate, weights=bend * v * v, minlength=GATES)
                 self.weights[:, table] += rate * slope / (curve + CALM)
-            cell, share = self._cells(grams, bit, odds)
-            flat, size = self.refined.reshape(-1), self.refined.size
-            for c, w in ((cell, times * (1 - share)), (cell + 1, times * share)):
-                n = np.bincount(c, weights=w, minlength=size)
-                hit = np.bincount(c, weights=w * one, minlength=size)
-                gain = 1 - (1 - APM_RATE) ** np.minimum(n, 50)
-                flat += np.where(n > 0, gain * (hit / np.maximum(n, 1e-9) - flat), 0)
+            cell, share = self._cells(some, bit, odds)
+            begin = size = APM_STEPS << bit  # the cells of this bit's nodes
+            flat, cell = self.refined.reshape(-1)[begin:begin + size], cell - begin
+            for step, w in ((0, n * (1 - share)), (1, n * share)):
+                met, hit = (np.roll(np.bincount(cell, weights=v, minlength=size), step) for v in (w, w * one))
+                gain = 1 - (1 - APM_RATE) ** np.minimum(met, 50)
+                flat += np.where(met > 0, gain * (hit / np.maximum(met, 1e-9) - flat), 0)
         self.seen += float(times.sum())
 
     def cost(self, grams: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log10 probability of each context's byte."""
-        out, flat, hashes = np.zeros(len(grams)), self.refined.reshape(-1), _hashes(grams, words)
-        for bit in range(8):
-            x, gate, one = self._inputs(grams, hashes, bit)
+        out, flat, whole = np.zeros(len(grams)), self.refined.reshape(-1), _hashes(grams, words)
+        for bit, at in enumerate(shared_bits(grams, words)):
+            some = grams[at]
+            x, gate, one = self._inputs(some, [h[at] for h in whole], bit)
             odds = self._mixed(x, gate)
-            cell, share = self._cells(grams, bit, odds)
-            p = 0.5 / (1 + np.exp(-odds)) + 0.5 * (flat[cell] * (1 - share) + flat[cell + 1] * share)
-            out += np.log10(np.clip(np.where(one == 1, p, 1 - p), 1e-6, 1.0))
+            cell, share = self._cells(some, bit, odds)
+            p = 0.5 / (1 + np.exp(-odds)) + 0.5 * (flat.take(cell) * (1 - share) + flat.take(cell + 1) * share)
+            value = np.log10(np.clip(np.where(one == 1, p, 1 - p), 1e-6, 1.0))
+            out += np.repeat(value, np.diff(np.append(at, len(grams))))
         return out
 
 
 def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds and levels of all slots, once and for all."""
+    odds, level = _odds(*counts)
+    return odds.astype(np.float16), level
+
+
+def without_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and levels of all slots as an event that is counted there sees them: first a zero, then a one."""
     n0, n1 = counts
-    return np.clip(np.log((n1 + DELTA) / (n0 + DELTA)), -LIMIT, LIMIT).astype(np.float16), _level(n0 + n1).astype(np.int8)
+    zero, one = _odds(np.maximum(n0 - 1, 0), n1), _odds(n0, np.maximum(n1 - 1, 0))
+    return np.concatenate([zero[0], one[0]]), np.concatenate([zero[1], one[1]])
+
+
+def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.clip(np.log((n1 + DELTA) / (n0 + DELTA)), -LIMIT, LIMIT), _level(n0 + n1)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -323,12 +381,13 @@ def train_counts(texts: DataFrame) -> np.ndarray:
     return _collected(texts.select("text").mapInArrow(count, "chunk int, data binary"), 2 * STARTS[-1]).reshape(2, -1)
 
 
-def train_mixer(texts: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
+def train_mixer(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and refinement: online in every task, averaged by the bytes each task has seen."""
     n_w, n_r = GATES * TABLES, 256 * APM_STEPS
+    seen = texts.sparkSession.sparkContext.broadcast(without_own(counts))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(counts.value)
+        mixer = Mixer.frozen(*seen.value)
         for parts in _batches_of((t for b in batches for t in _texts(b.column(0))), BATCH, LAST_BATCH):
             grams, words, _ = contexts(parts)
             order, first, times = distinct(grams, words)
@@ -337,7 +396,8 @@ def train_mixer(texts: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
             yield from _chunk_rows(np.append(mixer.seen * np.append(mixer.weights.ravel(), mixer.refined.ravel()), mixer.seen))
 
     got = _collected(texts.select("text").mapInArrow(learn, "chunk int, data binary"), n_w + n_r + 1).astype(np.float64)
-    start = Mixer(counts.value)
+    seen.unpersist()
+    start = Mixer(None)
     if not got[-1]:
         return start.weights, start.refined
     mean = got[:-1] / got[-1]
@@ -388,10 +448,8 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: in
 
     train = rows.where("train")
     table = train_counts(train)
-    counts = spark.sparkContext.broadcast(table)
-    model = spark.sparkContext.broadcast(train_mixer(train, counts))
+    model = spark.sparkContext.broadcast(train_mixer(train, table))
     frozen = spark.sparkContext.broadcast(log_odds(table))
-    counts.unpersist()
 
     words = block_words(rows.repartition("block").sortWithinPartitions("block"))
     # A word has at most one row per block, and there is a block for every BLOCK_BYTES of text.
@@ -415,22 +473,27 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: in
             out = []
             for (doc, trains, low), s in zip(held, score_texts([h[2] for h in held], mixer)):
                 ws = low.split()
-                values = [log_count[w] for w in ws if w in log_count]
+                values = list(filter(None, map(log_count.get, ws)))  # a known word's value is above zero
                 out.append((doc, not trains, len(ws) + 1, len(values) + (ends > 0), sum(values) + floor * len(ws) + end_value, float(s), len(low)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         for b in batches:
-            names = ("block", "kind", "data", "c", "doc_id", "train")
-            for this, kind, data, c, doc, trains in zip(*(b.column(n).to_pylist() for n in names)):
-                if this != block:
+            blocks, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
+            for start, end in zip(edges[:-1], edges[1:]):
+                if start == end:
+                    continue
+                if blocks[start] != block:
                     if held:
                         yield flush()
                         waiting = 0
-                    block, log_count = this, {}
-                if kind == 0:
-                    log_count[data] = float(np.log10(c + 1))
-                else:
+                    block, log_count = blocks[start], {}
+                some = b.slice(start, end - start)
+                if kinds[start] == 0:
+                    log_count.update(zip(some.column("data").to_pylist(), np.log10(some.column("c").to_numpy() + 1).tolist()))
+                    continue
+                for data, doc, trains in zip(*(some.column(n).to_pylist() for n in ("data", "doc_id", "train"))):
                     held.append((doc, trains, data.lower()))
                     waiting += len(data)
                     if waiting >= PIECE:

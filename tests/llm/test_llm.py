@@ -447,6 +447,23 @@ def test_bits_are_a_distribution():
         context_mix.PIECE = cut
 
 
+def test_neighbours_share_the_bits_in_which_they_agree():
+    """Contexts are ordered so that common bits are looked up once; costs are those of each context alone."""
+    parts = [p for ps in context_mix.grouped_parts([words(400, s).encode() for s in range(4)]) for p in ps]
+    g, w, _ = context_mix.contexts(parts)
+    order, first, times = context_mix.distinct(g, w)
+    assert times.sum() == len(g) and len(first) == len(set(zip(g.tolist(), w.tolist())))
+    g, w = g[order[first]], w[order[first]]
+    assert sum(map(len, context_mix.shared_bits(g, w))) < 7 * len(g)
+    counts = np.zeros((2, context_mix.STARTS[-1]), np.float32)
+    context_mix.count_bits(g, w, times, counts)
+    mixer = context_mix.Mixer.frozen(*context_mix.log_odds(counts))
+    some = slice(100, 140)
+    assert mixer.cost(g, w)[some] == pytest.approx(np.concatenate([mixer.cost(g[i:i + 1], w[i:i + 1]) for i in range(100, 140)]))
+    odds, level = context_mix.without_own(np.array([[3, 1], [1, 0]], np.float32))
+    assert odds == pytest.approx(np.log([1.4 / 2.4, 0.4 / 0.4, 0.4 / 3.4, 0.4 / 1.4])) and level.tolist() == [2, 0, 2, 1]
+
+
 # ---------------------------------------------------------------- substrings
 def brute_removed(rows, width):
     seen, out = set(), {}
