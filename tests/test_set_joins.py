@@ -139,3 +139,17 @@ def test_whole_sets_travel_only_for_pairs_that_can_match(spark, monkeypatch):
     assert [(r.q, r.r) for r in got] == [(299, 0)]
     most = (F.col("n") + F.col("m") - F.col("apart")) / 2
     assert asked[0].where(most >= 0.4 * (F.col("n") + F.col("m") - most)).count() < 50
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_few_queries_find_the_nearest_sets_of_all(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW_ELEMENTS", few)
+    sets = families(150, 5)
+    refs, asked = sets[:120], sets[120:] + [{10_001}, sets[3]]
+    rows = lambda ss: spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(ss)], "id bigint, els array<bigint>")
+    got = {r.id: (r.nn_sim, r.nn_id) for r in J.nn_similarity(rows(asked), rows(refs), "id", "els").collect()}
+    for i, a in enumerate(asked):
+        sim, j = max(((tan(a, b), -j) for j, b in enumerate(refs)))
+        assert got[i] == (pytest.approx(sim), -j if sim else None)
+    only = J._frequency(rows(refs), rows([{7, 10_001}]).select(F.explode("els").alias("el"))).collect()
+    assert [(r.el, r.df) for r in only] == [(7, sum(7 in s for s in refs))]
