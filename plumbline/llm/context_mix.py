@@ -250,9 +250,8 @@ class Mixer:
             p = 1 / (1 + np.exp(-odds))
             miss, bend = (one - p) * n, p * (1 - p) * n
             for table in range(TABLES):
-                v = x[table].astype(np.float64)
-                slope = np.bincount(gate, weights=miss * v, minlength=GATES)
-                curve = np.bincount(gate, weights=bend * v * v, minlength=GATES)
+                slope = np.bincount(gate, weights=miss * x[table], minlength=GATES)
+                curve = np.bincount(gate, weights=bend * x[table] ** 2, minlength=GATES)
                 self.weights[:, table] += rate * slope / (curve + CALM)
             cell, share = self._cells(some, bit, odds)
             begin = size = APM_STEPS << bit  # the cells of this bit's nodes
@@ -285,9 +284,13 @@ def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def without_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds and levels of all slots as an event that is counted there sees them: first a zero, then a one."""
-    n0, n1 = counts
-    zero, one = _odds(np.maximum(n0 - 1, 0), n1), _odds(n0, np.maximum(n1 - 1, 0))
-    return np.concatenate([zero[0], one[0]]), np.concatenate([zero[1], one[1]])
+    size = counts.shape[1]
+    odds, level = np.empty(2 * size, np.float32), np.empty(2 * size, np.int8)
+    for at in range(0, size, CHUNK):
+        n0, n1 = counts[:, at:at + CHUNK].astype(np.float64)
+        for start, left in ((at, (np.maximum(n0 - 1, 0), n1)), (size + at, (n0, np.maximum(n1 - 1, 0)))):
+            odds[start:start + len(n0)], level[start:start + len(n0)] = _odds(*left)
+    return odds, level
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
