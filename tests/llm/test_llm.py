@@ -505,3 +505,51 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     t = words(60, 9)
     got = [(x.doc_id, x.n_removed) for x in suffix_dedup.substring_dedup(spark.createDataFrame([(None, t), (2, t), (2, t)], "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(2, 0), (2, len(t)), (None, len(t))], key=str)
+
+
+def test_suffix_dedup_cuts_common_classes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)  # every class with two bundles is cut into single strings
+    line = words(20, 3)[:60]
+    rows = [(k, f"{words(12, 200 + k)} {line} {words(12, 300 + k // 2)}") for k in range(30)] + [(40, words(60, 4)), (41, words(60, 4))]
+    got = {x.doc_id: x for x in suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (n, hit, sha) in brute_removed(rows, 100).items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (n, len(hit), sha), i
+    assert got[1].n_removed > 100 and got[41].n_removed == len(rows[-1][1])
+
+
+def test_suffix_dedup_packs_suffixes(spark, tmp_path, monkeypatch):
+    # One row per place and level took many times the text; a row now holds the suffixes of a bundle.
+    rows = [(k, words(150, k) + " " + words(150, 500 + k // 3)) for k in range(60)]
+    spaces = iter(range(100))
+    monkeypatch.setattr("plumbline.sources.tables.scratch_path", lambda spark, name: str(tmp_path / f"{next(spaces)}"))
+    monkeypatch.setattr("plumbline.llm.util.scratch_path", lambda spark, name: str(tmp_path / f"{next(spaces)}"))
+    got = suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).agg({"n_removed": "sum"}).first()[0]
+    assert got == sum(len(hit) for _, hit, _ in brute_removed(rows, 100).values()) > 0
+    stored = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert stored < 3 * sum(len(t) for _, t in rows)
+
+
+def test_suffix_order_and_bundles_by_brute_force(monkeypatch):
+    r = random.Random(8)
+    for alphabet, width, n in ((b"ab", 9, 700), (b"abc", 20, 900), (b"a", 100, 300), (bytes(range(256)), 100, 400), (b"ab", 5, 60)):
+        data = bytes(r.choice(alphabet) for _ in range(n))
+        data += data[n // 3:n // 2] + data[:n // 4]
+        starts = np.array(sorted(r.sample(range(len(data) - width + 1), max(1, (len(data) - width) // 2))))
+        seen, want = set(), []
+        for s in starts.tolist():
+            want.append(data[s:s + width] in seen)
+            seen.add(data[s:s + width])
+        assert suffix_dedup.repeated_places(data, starts, width).tolist() == want
+    texts = [words(r.randrange(1, 90), s).encode() for s in range(9)] + [b"z" * 300, b"", b"z" * 99]
+    want = sorted((i, s, t[s:s + 100]) for i, t in enumerate(texts) for s in range(len(t) - 99))
+    for piece in (1 << 20, 150):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        got, classes = [], {}
+        for data, lengths, numbers, firsts in suffix_dedup.pieces(texts, 100):
+            begin = np.cumsum(lengths) - lengths
+            _, owner, start, n, h = suffix_dedup.bundles(data, lengths, 100, 24)
+            for o, s, m, c in zip(owner.tolist(), start.tolist(), n.tolist(), h.tolist()):
+                for at in range(s, s + m):
+                    got.append((numbers[o], at - int(begin[o]) + firsts[o], data[at:at + 100]))
+                    assert classes.setdefault(data[at:at + 100], c) == c  # equal strings meet in one class
+        assert sorted(got) == want
