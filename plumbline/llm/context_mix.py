@@ -199,30 +199,36 @@ class Mixer:
         centre = 1 / (1 + np.exp(-np.linspace(-8, 8, APM_STEPS)))
         self.refined = np.tile(centre, (256, 1)) if refined is None else refined
         self.seen = 0.0
-        self.odds, self.level = (None, None) if counts is None else without_own(counts)
+        self.slots = None if counts is None else side_by_side(*without_own(counts))
 
     @classmethod
     def frozen(cls, odds: np.ndarray, level: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> Mixer:
         """A mixer from log-odds and levels: of all slots it only scores, from those of ``without_own`` it learns."""
+        return cls.of_slots(side_by_side(odds, level), weights, refined)
+
+    @classmethod
+    def of_slots(cls, slots: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> Mixer:
+        """``frozen`` from what ``side_by_side`` made of log-odds and levels."""
         out = cls(None, weights, refined)
-        out.odds, out.level = odds, level
+        out.slots = slots
         return out
 
     def _inputs(self, grams: np.ndarray, hashes: list[np.ndarray], bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds by table, gate and the bit. While learning, every event is seen without its own count."""
         one = _target(grams, bit)
         x = np.empty((TABLES, len(grams)), np.float32)
-        own = one.astype(np.uint32) * np.uint32(STARTS[-1]) if len(self.odds) > STARTS[-1] else None
+        own = one.astype(np.uint32) * np.uint32(STARTS[-1]) if len(self.slots) > STARTS[-1] else None
+        size = self.slots.itemsize // 2
         levels, node = {}, _node(grams, bit)
         for table in range(TABLES):
             slot = _slots(hashes, node, table)
-            slot = (slot if own is None else slot + own).astype(np.intp)
-            x[table] = self.odds.take(slot)
+            both = self.slots.take((slot if own is None else slot + own).astype(np.intp))
+            x[table] = both.astype(f"u{size}").view(f"f{size}")
             if table in GATED:
-                levels[table] = self.level.take(slot)
+                levels[table] = (both >> both.dtype.type(8 * size)).astype(np.uint8)
         digits = np.zeros(len(grams), np.uint8)
         for table in GATED:
-            digits = digits * np.uint8(LEVELS + 1) + levels[table].view(np.uint8)
+            digits = digits * np.uint8(LEVELS + 1) + levels[table]
         return x, (_GATE_OF + bit).take(digits), one
 
     def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -255,9 +261,10 @@ class Mixer:
                 self.weights[:, table] += rate * slope / (curve + CALM)
             cell, share = self._cells(some, bit, odds)
             begin = size = APM_STEPS << bit  # the cells of this bit's nodes
-            flat, cell = self.refined.reshape(-1)[begin:begin + size], cell - begin
+            flat, cell = self.refined.reshape(-1)[begin:begin + size], 2 * (cell - begin) + one
             for step, w in ((0, n * (1 - share)), (1, n * share)):
-                met, hit = (np.roll(np.bincount(cell, weights=v, minlength=size), step) for v in (w, w * one))
+                zeros, hit = np.roll(np.bincount(cell, weights=w, minlength=2 * size).reshape(-1, 2), step, axis=0).T
+                met = zeros + hit
                 gain = 1 - (1 - APM_RATE) ** np.minimum(met, 50)
                 flat += np.where(met > 0, gain * (hit / np.maximum(met, 1e-9) - flat), 0)
         self.seen += float(times.sum())
@@ -293,6 +300,12 @@ def without_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds, level
 
 
+def side_by_side(odds: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Log-odds (low half) and level (high half) of each slot as one number, so that both come with one look into memory."""
+    low = odds.view(f"u{odds.itemsize}").astype(f"u{2 * odds.itemsize}")
+    return low | level.astype(low.dtype) << low.dtype.type(8 * odds.itemsize)
+
+
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.log((n1 + DELTA) / (n0 + DELTA)), -LIMIT, LIMIT), _level(n0 + n1)
 
@@ -387,10 +400,10 @@ def train_counts(texts: DataFrame) -> np.ndarray:
 def train_mixer(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and refinement: online in every task, averaged by the bytes each task has seen."""
     n_w, n_r = GATES * TABLES, 256 * APM_STEPS
-    seen = texts.sparkSession.sparkContext.broadcast(without_own(counts))
+    seen = texts.sparkSession.sparkContext.broadcast(side_by_side(*without_own(counts)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer.frozen(*seen.value)
+        mixer = Mixer.of_slots(seen.value)
         for parts in _batches_of((t for b in batches for t in _texts(b.column(0))), BATCH, LAST_BATCH):
             grams, words, _ = contexts(parts)
             order, first, times = distinct(grams, words)
@@ -452,7 +465,7 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: in
     train = rows.where("train")
     table = train_counts(train)
     model = spark.sparkContext.broadcast(train_mixer(train, table))
-    frozen = spark.sparkContext.broadcast(log_odds(table))
+    frozen = spark.sparkContext.broadcast(side_by_side(*log_odds(table)))
 
     words = block_words(rows.repartition("block").sortWithinPartitions("block"))
     # A word has at most one row per block, and there is a block for every BLOCK_BYTES of text.
@@ -469,7 +482,7 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", folds: in
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer.frozen(*frozen.value, *model.value)
+        mixer = Mixer.of_slots(frozen.value, *model.value)
         block, log_count, held, waiting = None, {}, [], 0
 
         def flush() -> pa.RecordBatch:

@@ -464,6 +464,16 @@ def test_neighbours_share_the_bits_in_which_they_agree():
     assert odds == pytest.approx(np.log([1.4 / 2.4, 0.4 / 0.4, 0.4 / 3.4, 0.4 / 1.4])) and level.tolist() == [2, 0, 2, 1]
 
 
+
+def test_slots_hold_log_odds_and_levels_side_by_side():
+    counts = np.array([[3, 0, 900, 0], [1, 0, 0, 70]], np.float32)
+    for odds, level in (context_mix.log_odds(counts), context_mix.without_own(counts)):
+        slots, kind = context_mix.side_by_side(odds, level), f"{odds.itemsize}"
+        assert slots.itemsize == 2 * odds.itemsize and len(slots) == len(odds)
+        assert slots.astype("u" + kind).view("f" + kind).tolist() == odds.tolist()
+        assert (slots >> slots.dtype.type(8 * odds.itemsize)).tolist() == level.tolist()
+
+
 # ---------------------------------------------------------------- substrings
 def brute_removed(rows, width):
     seen, out = set(), {}
