@@ -20,7 +20,7 @@ def _described(spark, sf, sets):
     d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = d.select(F.col("doc_id").alias("id"), *[c.cast("double").alias(n) for n, c in descriptors(F.col("text")).items() if n in COLS])
     inner = X.folds(spark, sf).where("design = 'source'").select("id", F.col("inner_f").cast("int").alias("fold"))
-    s = X.slice_scores(spark, sf).select("id", "y", "role", "pred")
+    s = X.slice_plain(spark, sf).select("id", "y", "role", "pred")
     return rows.join(inner, "id").join(s, "id").join(sets, "id").withColumn("features", F.array(*COLS))
 
 
