@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from plumbline.core import settle
 from plumbline.operators.prefix_join import similar_pairs
-from plumbline.operators.similarity import representatives, set_table
+from plumbline.operators.set_tiles import pairs_above
+from plumbline.operators.similarity import PREFIX_FROM, counted, representatives, set_table, tiled
 
 
 # ---------------------------------------------------------------- deletion pairs
@@ -98,9 +99,13 @@ def butina(df: DataFrame, ident: str, els: str, min_sim: float = 0.6) -> DataFra
     so their cluster, hence everything runs on distinct sets. Rows without elements stay alone.
     """
     rows = set_table(df, ident, els)
-    reps = settle(representatives(rows))
+    if min_sim >= PREFIX_FROM:
+        reps = settle(representatives(rows))
+        once = similar_pairs(reps.where("n > 0"), None, min_sim).select("q", "r")
+    else:
+        once = settle(pairs_above(*tiled(rows), None, min_sim).select("q", "r"))
+        reps = counted(rows)
     live = reps.where("n > 0")
-    once = similar_pairs(live, None, min_sim).select("q", "r")
     pairs = settle(once.unionByName(once.select(F.col("r").alias("q"), F.col("q").alias("r"))))
     copies = live.select("rid", "copies")
     degree = pairs.join(copies.withColumnRenamed("rid", "r"), "r").groupBy("q").agg(F.sum("copies").alias("d"))

@@ -42,7 +42,7 @@ def test_neighbours_in_many_tiles(spark, small):
     for i, s, _ in rows:
         want = sorted((-tan(s, t), j) for j, t, _ in rows if j != i)[:3]
         assert got[i] == {k + 1: (j, pytest.approx(-v)) for k, (v, j) in enumerate(want)}
-    assert len(J._tiled(J.set_table(table(spark, rows), "id", "els"))[0].collect()) > 10
+    assert len(J.tiled(J.set_table(table(spark, rows), "id", "els"))[0].collect()) > 10
 
 
 def test_nearest_of_two_tables_in_many_tiles(spark, small, monkeypatch):
@@ -70,7 +70,7 @@ def test_label_sums_in_many_tiles(spark, small):
 
 def test_tiles_meet_without_a_shuffle(spark, small):
     """The pairs read both sides from the scratch folder; before, a set was shuffled once for every tile that it met."""
-    own = J._tiled(J.set_table(table(spark, draw(90, 5)), "id", "els"))[0]
+    own = J.tiled(J.set_table(table(spark, draw(90, 5)), "id", "els"))[0]
     for df in (T.nearest_in_tiles(own, None, 2), T.nearest_in_tiles(own, own, 1), T.label_sums(own, 3)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Exchange" not in plan
@@ -120,3 +120,28 @@ def test_held_sets_are_not_shuffled(spark, folder):
             want = X.sets(spark, folder).join(p.where(F.col("role") == role), "id", "left_semi")
             assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
             assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_threshold_joins_in_many_tiles(spark, small):
+    """Exact and by bands; the pairs of the bands are those of the index as a table."""
+    from plumbline.operators import minhash as M
+
+    rows = draw(150, 6)
+    df = table(spark, rows)
+    first = {}
+    for i, s, _ in rows:
+        first.setdefault(tuple(s), i)
+    want = {(a, b): tan(s, t) for s, a in first.items() for t, b in first.items() if a < b and tan(s, t) >= 0.2}
+    exact = {(r.id_a, r.id_b): r.sim for r in J.tanimoto_join(df, None, "id", "els", 0.2).collect()}
+    assert exact.keys() == want.keys() and all(exact[k] == pytest.approx(v) for k, v in want.items())
+    sets = J.set_table(df, "id", "els")
+    reps = J.representatives(sets)
+    asked = {(r.q, r.r) for r in M.likely_pairs(reps, None, 0.2, 3, 2).collect()}
+    got = {(r.q, r.r): r.sim for r in M.verified_in_tiles(sets, None, 0.2, 3, 2, M.SEED).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if k in asked} and 0 < len(got) < len(want)
+    other = draw(40, 7)
+    found = {(r.id_a, r.id_b) for r in J.tanimoto_join(df, table(spark, other), "id", "els", 0.2).collect()}
+    second = {}
+    for i, s, _ in other:
+        second.setdefault(tuple(s), i)
+    assert found == {(a, b) for s, a in first.items() for t, b in second.items() if tan(s, t) >= 0.2}
