@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, ident: str = "doc_id", text: str = "text", bloc
             yield _index_block(ids, texts)
 
     source = docs.select(F.col(f"`{ident}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    return stored(source.mapInArrow(run, INDEX), "search-index")
+    return stored(source.mapInArrow(run, INDEX), "search-index", rows_per_file=1)
 
 
 # ---------------------------------------------------------------- queries
@@ -186,7 +186,7 @@ def prepared(index: DataFrame, q: Queries, n_docs: int, n_terms: int) -> DataFra
             for k in range(batch.num_rows):
                 yield _prepare({c: batch.column(c)[k] for c in batch.schema.names}, q, words, [of_term[t] for t in vocabulary], n_docs, n_terms)
 
-    return stored(index.select("ids", "n", "terms", "df", "docs", "tf").mapInArrow(run, PREPARED), "search-impacts")
+    return stored(index.select("ids", "n", "terms", "df", "docs", "tf").mapInArrow(run, PREPARED), "search-impacts", rows_per_file=1)
 
 
 # ---------------------------------------------------------------- search

@@ -111,3 +111,11 @@ def test_random_blocks_keep_every_best():
         every = [(sum(p.get(d, 0) for p in postings.values()), d) for d in range(n)] + held
         assert list(zip(best.scores.tolist(), best.ids.tolist())) == sorted(every, key=lambda x: (-x[0], x[1]))[:4]
         assert not block.score.any()
+
+
+def test_a_file_of_the_index_holds_one_block(spark):
+    """All rows of a file are in memory at once; a large split gave many blocks."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = P.build_index(docs, block_bytes=200)
+    n = index.count()
+    assert n > 5 and len(index.inputFiles()) == n and index.agg({"n_docs": "sum"}).first()[0] == 60
