@@ -68,6 +68,13 @@ def test_label_sums_in_many_tiles(spark, small):
         assert r.n_label == len(theirs) and r.sum_sim == pytest.approx(sum(tan(mine, t) for t in theirs))
 
 
+def test_rows_without_a_label_are_only_compared_with(spark):
+    rows = [(1, [1, 2], "a"), (2, [2, 3], "b"), (3, [1, 2, 3], None)]
+    got = {(r.id, r.own, r.label): (r.n_label, round(r.sum_sim, 6)) for r in J.label_similarity(table(spark, rows), "id", "els", "label").collect()}
+    assert got == {(1, "a", "a"): (1, 1.0), (1, "a", "b"): (1, 0.333333), (1, "a", "None"): (1, 0.666667),
+                   (2, "b", "a"): (1, 0.333333), (2, "b", "b"): (1, 1.0), (2, "b", "None"): (1, 0.666667)}
+
+
 def test_tiles_meet_without_a_shuffle(spark, small):
     """The pairs read both sides from the scratch folder; before, a set was shuffled once for every tile that it met."""
     own = J.tiled(J.set_table(table(spark, draw(90, 5)), "id", "els"))[0]
